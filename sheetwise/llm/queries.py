@@ -7,12 +7,13 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules
+from . import bpe, quality_rules, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_bpe": bpe.op8_bpe,
+        "op7_token_store": token_store.op7_token_store,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
