@@ -7,16 +7,18 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, token_store
+from . import bpe, chat, importance, quality_rules, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_bpe": bpe.op8_bpe,
         "op7_token_store": token_store.op7_token_store,
+        "op10_importance_resampling": importance.op10_importance_resampling,
+        "op2_chat_format": chat.op2_chat_format,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.OP2_SQL}
