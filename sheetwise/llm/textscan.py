@@ -140,3 +140,50 @@ def slices(column: pa.ChunkedArray | pa.Array, size: int = SLICE) -> Iterator[tu
 def scans(column: pa.ChunkedArray | pa.Array, fold: bool = False) -> Iterator[tuple[int, int, Scan]]:
     for lo, hi, data, bounds in slices(column):
         yield lo, hi, scan(data, bounds, fold)
+
+
+class RunTable:
+    """Maps 64-bit keys to runs of numbers or bytes, looked up and laid out for whole arrays of keys.
+
+    Emptied when it holds `most` keys, which bounds memory and changes no result: a
+    batch's missing keys are added after that, whatever their number.
+    """
+
+    def __init__(self, dtype, most: int = 3_000_000):
+        self.dtype, self.most = np.dtype(dtype), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.data, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Mask of sorted distinct keys that the table lacks; to be added before the next find()."""
+        if len(self.keys) >= self.most:
+            self._clear()
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return ~known
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+        """New keys, sorted, and their runs one after the other in data."""
+        while self.used + len(data) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(len(self.data), self.dtype)])
+        self.data[self.used : self.used + len(data)] = data
+        lengths = np.asarray(lengths, np.int64)
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(data)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.length = np.insert(self.keys, at, keys), np.insert(self.start, at, starts), np.insert(self.length, at, lengths)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
+
+    def lay_out(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the found rows one after the other, and their lengths."""
+        lengths = self.length[rows]
+        before = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        return self.data[np.repeat(self.start[rows] - before, lengths) + np.arange(total)], lengths

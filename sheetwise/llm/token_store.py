@@ -39,12 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, pieces
+from .bpe import default_vocabulary
 from .common import scratch, table
-from .textscan import mix
+from .textscan import RunTable, mix, scans
 
 MAGIC = b"TOKSHRD1"
-CACHED_PIECES = 400_000
 KEYS_PER_BUCKET = 4
 MANIFEST = "shard int, file string, first_key bigint, last_key bigint, n_rows bigint, n_ids bigint"
 _U = np.uint64
@@ -111,27 +110,61 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, each distinct white-space piece encoded once a process."""
+    """Ids of whole texts from the tokenizers library.
+
+    White space parts a text into pieces that never influence one another, so each
+    distinct piece is encoded once a process. New pieces go to the library as one
+    text with a special token between them, whose id then shows where each ends;
+    pieces that could contain a special token themselves go alone. Pieces are told
+    apart by 64-bit hashes.
+    """
+
+    PIECES = 512
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), f"<u{width}", {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.special = {str(t.content): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.known = RunTable(self.dtype)
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def runs(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.special:
+            return self._alone(texts)
+        mark, mark_id = next(iter(self.special.items()))
+        starts = tuple({s[:2] for s in self.special})
+        odd = {k for k, t in enumerate(texts) if any(s in t for s in starts)}
+        plain, out = [k for k in range(len(texts)) if k not in odd], [None] * len(texts)
+        for lo in range(0, len(plain), self.PIECES):
+            part = plain[lo : lo + self.PIECES]
+            ids = self._alone([mark.join(texts[k] for k in part)])[0]
+            cuts = np.flatnonzero(ids == mark_id)
+            for k, run in zip(part, np.split(ids, cuts), strict=True):
+                out[k] = run[1:] if k != part[0] else run
+        for k, run in zip(sorted(odd), self._alone([texts[k] for k in sorted(odd)])):
+            out[k] = run
+        return out
 
-    def payloads(self, texts: list[str]) -> Iterator[bytes]:
-        split = [pieces(t) for t in texts]
-        if len(self.known) >= CACHED_PIECES:
-            self.known.clear()
-        fresh = list({p for s in split for p in s}.difference(self.known))
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
-        for s in split:
-            yield b"".join(map(self.known.__getitem__, s))
+    def payloads(self, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For slices of an Arrow column: all ids of its texts, and where each text's begin and the last one's end."""
+        for _, _, s in scans(column):
+            keys, first, inverse = np.unique(s.hashes, return_index=True, return_inverse=True)
+            lacking = np.flatnonzero(self.known.missing(keys))
+            if len(lacking):
+                raw, at = s.data.tobytes(), first[lacking]
+                runs = self.runs([raw[i:j].decode("utf-8") for i, j in zip(s.start[at].tolist(), s.end[at].tolist())])
+                self.known.add(keys[lacking], np.fromiter(map(len, runs), np.int64, len(runs)), np.concatenate(runs))
+            ids, lengths = self.known.lay_out(self.known.find(keys)[inverse])
+            ends = np.zeros(len(lengths) + 1, np.int64)
+            np.cumsum(lengths, out=ends[1:])
+            yield ids, ends[s.first]
 
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
@@ -151,7 +184,7 @@ def write_store(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, id_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(to)
         encoder = _encoders.get((vocabulary, width)) or _encoders.setdefault((vocabulary, width), LibraryEncoder(vocabulary, width))
-        shard, end = TaskContext.get().partitionId(), np.array([end_id], encoder.dtype).tobytes()
+        shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}.tok"
         temporary = f"{root}/_{name}.{uuid.uuid4().hex}"
         keys, sizes, nulls, out = [], [], 0, None
@@ -161,16 +194,15 @@ def write_store(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, id_c
             out = out or fs.open_output_stream(temporary)
             nulls += b.column(0).null_count
             keys.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-            for lo in range(0, b.num_rows, 512):
-                texts = [t or "" for t in b.column(1).slice(lo, 512).to_pylist()]
-                for p in encoder.payloads(texts):
-                    out.write(p)
-                    out.write(end)
-                    sizes.append(len(p) // width + 1)
+            for ids, bounds in encoder.payloads(b.column(1)):
+                # the end id after each text
+                out.write(np.insert(ids, bounds[1:], end_id).tobytes())
+                sizes.append(np.diff(bounds) + 1)
         if out is None:
             return
-        keys, starts = np.concatenate(keys).astype("<i8"), np.zeros(len(sizes) + 1, "<u8")
-        np.cumsum(sizes, out=starts[1:])
+        keys = np.concatenate(keys).astype("<i8")
+        starts = np.zeros(len(keys) + 1, "<u8")
+        np.cumsum(np.concatenate(sizes), out=starts[1:])
         distinct, row = np.unique(keys[nulls:], return_index=True)
         seed, pilots, slots = build_index(distinct) if len(distinct) else (0, np.zeros(1, np.uint32), np.zeros(0, np.int64))
         table_of_slots = np.zeros((len(distinct), 2), "<u4")
