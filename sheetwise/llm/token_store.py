@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
 from .common import scratch, table
-from .textscan import RunTable, mix, scans
+from .textscan import RunTable, mix, range_hash, scans
 
 MAGIC = b"TOKSHRD1"
 KEYS_PER_BUCKET = 4
@@ -112,59 +113,91 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class LibraryEncoder:
     """Ids of whole texts from the tokenizers library.
 
-    White space parts a text into pieces that never influence one another, so each
-    distinct piece is encoded once a process. New pieces go to the library as one
-    text with a special token between them, whose id then shows where each ends;
-    pieces that could contain a special token themselves go alone. Pieces are told
-    apart by 64-bit hashes.
+    White space parts a text into pieces that never influence one another; so does
+    the place where closing punctuation follows an ASCII letter or digit. Each
+    distinct part is encoded once a process, parts that differ by ASCII case
+    together, as the vocabulary lower-cases. New parts go to the library many at a
+    time: Latin letters alone form one word, so such parts are joined by spaces and
+    each ends where an id carries the vocabulary's word end; other parts are joined
+    by a special token, whose id shows where each ends, and go alone if one of them
+    holds that token. Parts are told apart by 64-bit hashes.
     """
 
-    PIECES = 512
+    PARTS = 64
+    LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["normalizer"].get("normalizers", [spec["normalizer"]])
+        self.fold = any(n["type"] == "Lowercase" for n in steps)
         self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = {str(t.content): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        closing = set(b".,!?;:*#$%&") - set("".join(self.special).encode())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.closing = np.isin(np.arange(256), list(closing))
         self.known = RunTable(self.dtype)
 
     def _alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def runs(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if not self.special:
-            return self._alone(texts)
-        mark, mark_id = next(iter(self.special.items()))
-        starts = tuple({s[:2] for s in self.special})
-        odd = {k for k, t in enumerate(texts) if any(s in t for s in starts)}
-        plain, out = [k for k in range(len(texts)) if k not in odd], [None] * len(texts)
-        for lo in range(0, len(plain), self.PIECES):
-            part = plain[lo : lo + self.PIECES]
-            ids = self._alone([mark.join(texts[k] for k in part)])[0]
+    def _words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of the ids of parts that are one word each, and all ids."""
+        ids = np.concatenate(self._alone([" ".join(parts[k : k + self.PARTS]) for k in range(0, len(parts), self.PARTS)]))
+        return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
+
+    def _others(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.special:
+            mark, mark_id = next(iter(self.special.items()))
+            ids = self._alone([mark.join(parts)])[0]
             cuts = np.flatnonzero(ids == mark_id)
-            for k, run in zip(part, np.split(ids, cuts), strict=True):
-                out[k] = run[1:] if k != part[0] else run
-        for k, run in zip(sorted(odd), self._alone([texts[k] for k in sorted(odd)])):
-            out[k] = run
-        return out
+            if len(cuts) == len(parts) - 1:
+                return np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, np.delete(ids, cuts)
+        runs = self._alone(parts)
+        return np.fromiter(map(len, runs), np.int64, len(runs)), np.concatenate(runs)
+
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """Add new keys and the ids of their parts to the table."""
+        word = np.fromiter((self.ends is not None and bool(self.LETTERS.fullmatch(p)) for p in parts), bool, len(parts))
+        for mask, encode in ((word, self._words), (~word, self._others)):
+            if mask.any():
+                self.known.add(keys[mask], *encode([parts[k] for k in np.flatnonzero(mask)]))
+
+    def _parts(self, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of every part, and the parts before each text."""
+        last = np.where(self.closing[s.data], -1, np.arange(len(s.data)))
+        np.maximum.accumulate(last, out=last)
+        before = last[s.end - 1] if len(s.end) else last[:0]
+        stem = s.data[np.maximum(before, 0)]
+        alnum = ((stem >= 48) & (stem <= 57)) | ((stem >= 65) & (stem <= 90)) | ((stem >= 97) & (stem <= 122))
+        cut = (before >= s.start) & (before < s.end - 1) & alnum
+        edge = before[cut] + 1
+        more = np.concatenate([[0], np.cumsum(cut)])
+        place = np.flatnonzero(cut)
+        return np.insert(s.start, place + 1, edge), np.insert(s.end, place, edge), s.first + more[s.first]
 
     def payloads(self, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For slices of an Arrow column: all ids of its texts, and where each text's begin and the last one's end."""
-        for _, _, s in scans(column):
-            keys, first, inverse = np.unique(s.hashes, return_index=True, return_inverse=True)
+        for _, _, s in scans(column, self.fold):
+            begin, end, texts = self._parts(s)
+            keys, first, inverse = np.unique(range_hash(s.sums, begin, end), return_index=True, return_inverse=True)
             lacking = np.flatnonzero(self.known.missing(keys))
             if len(lacking):
                 raw, at = s.data.tobytes(), first[lacking]
-                runs = self.runs([raw[i:j].decode("utf-8") for i, j in zip(s.start[at].tolist(), s.end[at].tolist())])
-                self.known.add(keys[lacking], np.fromiter(map(len, runs), np.int64, len(runs)), np.concatenate(runs))
+                self._learn(keys[lacking], [raw[i:j].decode("utf-8") for i, j in zip(begin[at].tolist(), end[at].tolist())])
             ids, lengths = self.known.lay_out(self.known.find(keys)[inverse])
             ends = np.zeros(len(lengths) + 1, np.int64)
             np.cumsum(lengths, out=ends[1:])
-            yield ids, ends[s.first]
+            yield ids, ends[texts]
 
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
