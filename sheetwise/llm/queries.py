@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, quality_rules, token_store, warc
+from . import bpe, chat, decontaminate, importance, pii, quality_rules, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": chat.op2_chat_format,
         "op3_warc": warc.op3_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op1_pii": pii.op1_pii,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
