@@ -105,8 +105,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     each = marked.select("id", "n", "start", "win", "print", "blocks", F.explode_outer("blocks").alias("k"))
     pairs = each.join(sided(prints), (F.col("n") == F.col("item_n")) & (F.col("k.b") == F.col("item_b")) & (F.col("k.v") == F.col("item_v")))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = pairs.select("id", "item", "start", "win", "its", distance.alias("distance")).where(F.col("distance") <= RADIUS)
-    shared = near.withColumn("c", common(F.col("win"), F.col("its"))).withColumn("u", F.size("win") + F.size("its") - F.col("c")).where(100 * F.col("c") >= THRESHOLD * F.col("u"))
+    # one guarded expression: as filters of their own, both tests would be merged into the join and run on every pair of it
+    c = F.when(distance <= RADIUS, common(F.col("win"), F.col("its")))
+    counted = pairs.select("id", "item", "start", distance.alias("distance"), (F.size("win") + F.size("its")).alias("both"), c.alias("c"))
+    shared = counted.withColumn("u", F.col("both") - F.col("c")).where(100 * F.col("c") >= THRESHOLD * F.col("u"))
     best = shared.groupBy("id", "item").agg(F.max(F.struct((F.col("c") / F.col("u")).alias("similarity"), (-F.col("start")).alias("back"), (-F.col("distance")).alias("d"))).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("m.back")).cast("long").alias("start_word"), F.round("m.similarity", 6).alias("similarity"), (-F.col("m.d")).cast("long").alias("distance"))
 
