@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, pii, quality_rules, token_store, warc
+from . import bpe, chat, decontaminate, importance, jaccard, pii, quality_rules, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": warc.op3_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op1_pii": pii.op1_pii,
+        "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
