@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, jaccard, pii, quality_rules, token_store, warc
+from . import bpe, chat, decontaminate, importance, jaccard, pii, quality_rules, suffix_dedup, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op8_bpe": bpe.op8_bpe,
         "op7_token_store": token_store.op7_token_store,
         "op10_importance_resampling": importance.op10_importance_resampling,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op1_pii": pii.op1_pii,
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
