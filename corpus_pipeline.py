@@ -1,6 +1,71 @@
-"""From raw documents to token ids, in stages that each call one text operator."""
+"""From raw documents to token ids: five stages, each calling one text operator.
+
+Every stage takes (spark, docs, sf_dir) and gets what the stage before it kept. All
+but the last return the columns of `documents`; the last adds the ids of each text.
+Null and empty texts are kept by every filter, and so are rows without an id unless
+the quality classifier rejects them; rows repeated in id and text become one in the
+second stage. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheetwise.llm import bpe, decontaminate, importance, jaccard, pii
+from sheetwise.llm.common import remove, scratch, table
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that importance resampling draws; the labels name good and poor ones."""
+    return importance.keep_resampled(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: the rows of its least id. Rows without an id stay."""
+    found = jaccard.near_duplicates(docs)
+    # the ids to drop; a row's own id is its component's unless a smaller one is linked to it
+    doomed = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(doomed, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a passage of the benchmark."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by the kind in brackets."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds `ids`, the byte-pair ids of each text."""
+    return bpe.encode(docs, bpe.default_vocabulary(), keep=True)
+
+
+STAGES = [
+    ("quality classifier", select_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
+    ("byte-pair encoding", encode_texts),
+]
+#: The resampling, the boosted spans and the merges have no SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written as Parquet and read again."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            at = scratch(spark, f"stage{k}")
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
+            if before:
+                remove(spark, before)
+            before = at
+    return docs
