@@ -31,6 +31,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remove, scratch, table
+from .common import cut, shared_dir, table
 from .components import components
 from .textscan import Scan, mix, scans
 
@@ -52,6 +53,8 @@ BAND = 1.6
 SLOTS, REPORTED = 1 << 20, 4
 #: Members of an unresolved bucket that are compared with all others in one round.
 HUBS = 32
+#: Cells of a sketch, and bytes of a key in a run: the part of a bucket and 40 bits; keys that meet by chance only cost a comparison.
+CELLS, KEY_BYTES = 128, 5
 _U = np.uint64
 
 
@@ -132,31 +135,42 @@ def segment_keys(x: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
     return np.concatenate(out)
 
 
-def class_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, c, d) of every document: set size and the two hashes of its set."""
+def sketch(x: np.ndarray) -> bytes:
+    """Counts of a set's shingles in CELLS parts of hash space; the sum of the lesser counts of two sets bounds their intersection."""
+    return np.minimum(np.bincount((x >> _U(20) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(len(x), *signature(x)) if len(x) else (0, 0, 0) for _, _, s in scans(b.column(1), fold=True) for x in shingle_sets(s)]
-            n, c, d = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["id", "n", "c", "d"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n bigint, c bigint, d bigint")
 
+def class_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts for two kinds of rows.
 
-def key_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How many documents share a key, by key modulo SLOTS; keys that are rare within every task count as 0."""
+    For every document (slot null): id, n (set size), c and d (hashes of its set) and
+    its sketch. For keys that REPORTED documents of a slice share: slot and n, their count.
+    """
+    names = ["id", "n", "c", "d", "sketch", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, s in scans(b.column(0), fold=True):
-                keys = [segment_keys(x, None) for x in shingle_sets(s) if len(x)]
+            kind = b.column(0).type
+            for lo, hi, s in scans(b.column(1), fold=True):
+                sets = list(shingle_sets(s))
+                n, (c, d) = [len(x) for x in sets], zip(*[signature(x) if len(x) else (0, 0) for x in sets])
+                cells = [sketch(x) if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(hi - lo, pa.int64())], names)
+                keys = [segment_keys(x, None) for x in sets if len(x)]
                 if keys:
-                    key, n = np.unique(np.concatenate(keys), return_counts=True)
-                    at = n >= REPORTED
-                    yield pa.RecordBatch.from_arrays([pa.array((key[at] % _U(SLOTS)).astype(np.int64)), pa.array(n[at].astype(np.int64))], ["slot", "n"])
+                    key, m = np.unique(np.concatenate(keys), return_counts=True)
+                    at = m >= REPORTED
+                    k = int(at.sum())
+                    none = pa.nulls(k, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.array(m[at].astype(np.int64)), none, none, pa.nulls(k, pa.binary()), pa.array((key[at] % _U(SLOTS)).astype(np.int64))], names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n bigint, c bigint, d bigint, sketch binary, slot bigint")
+
 
-    got = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+def key_counts(scanned: DataFrame) -> np.ndarray:
+    """How many documents share a key, by key modulo SLOTS; keys that are rare within every slice count as 0."""
+    got = scanned.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.float32)  # at most SLOTS rows come to the driver
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -167,19 +181,27 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         keys, owner, held = [], [], 0
 
         def flush():
             nonlocal keys, owner, held
+            names = np.fromiter(seen, np.int64, len(seen))
             k, o = np.concatenate(keys), np.concatenate(owner)
             part = (k % _U(parts)).astype(np.int64)
-            order = np.lexsort((k, part))
-            k, o, part = k[order], o[order], part[order]
+            order = np.argsort(part, kind="stable")
+            k, o, part = k[order] // _U(parts) & _U((1 << 8 * KEY_BYTES) - 1), o[order], part[order]
             edge = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, k[edge[p] : edge[p + 1]].tobytes() + o[edge[p] : edge[p + 1]].tobytes()) for p in range(parts) if edge[p] < edge[p + 1]]
+            rows = []
+            for p in range(parts):
+                i, j = edge[p], edge[p + 1]
+                if i < j:
+                    used, at = np.unique(o[i:j], return_inverse=True)
+                    short = "<u2" if len(used) < 65536 else "<u4"
+                    cut_keys = np.ascontiguousarray(k[i:j]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+                    rows.append((p, int(j - i), len(used), cut_keys + names[used].tobytes() + at.astype(short).tobytes()))
             keys, owner, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "run"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["part", "keys", "owners", "run"])
 
         for b in batches:
             for _, _, s in scans(b.column(0), fold=True):
@@ -187,9 +209,9 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
                     if len(x):
                         c = signature(x)[0]
                         if c not in seen:
-                            seen.add(c)
+                            seen[c] = len(seen)
                             keys.append(segment_keys(x, shared.value))
-                            owner.append(np.full(len(keys[-1]), c, np.int64))
+                            owner.append(np.full(len(keys[-1]), seen[c], np.int64))
                             held += len(keys[-1])
                 if held > 4_000_000:
                     yield flush()
@@ -199,10 +221,13 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            for p, run in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = run.as_buffer()
-                half = raw.size // 2
-                parts_of.setdefault(p, []).append((np.frombuffer(raw[:half], np.uint64).copy(), np.frombuffer(raw[half:], np.int64).copy()))
+            for p, n, m, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                raw = run.as_py()
+                k = np.zeros((n, 8), np.uint8)
+                k[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8, n * KEY_BYTES).reshape(n, KEY_BYTES)
+                names = np.frombuffer(raw, np.int64, m, n * KEY_BYTES)
+                at = np.frombuffer(raw, "<u2" if m < 65536 else "<u4", n, n * KEY_BYTES + 8 * m)
+                parts_of.setdefault(p, []).append((k.view(np.uint64).ravel(), names[at]))
         seen: set[int] = set()
         for runs in parts_of.values():
             k, o = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
@@ -226,7 +251,7 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
                     values = pa.array(np.concatenate(lists[lo:hi]))
                     yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int32()), values)], ["members"])
 
-    runs = docs.select(F.col(text_col).cast("string")).mapInArrow(write, "part int, run binary")
+    runs = docs.select(F.col(text_col).cast("string")).mapInArrow(write, "part int, keys bigint, owners bigint, run binary")
     lists = runs.repartition(parts, "part").mapInArrow(gather, "members array<bigint>")
     return lists.distinct()
 
@@ -243,6 +268,24 @@ def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return rows.join(wanted.select("id").distinct(), "id", "left_semi").select("t").mapInArrow(run, "c bigint, x binary").dropDuplicates(["c"])
 
 
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity; no linked pair is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, CELLS).astype(np.int64) for k in (2, 3))
+            both, all_of = np.minimum(x, y).sum(axis=1), b.column(4).to_numpy() + b.column(5).to_numpy()
+            # a cell at its limit says nothing, so the bound is then taken as met
+            full = ((x == 65535) | (y == 65535)).any(axis=1)
+            ok = full | (100 * both >= THRESHOLD * (all_of - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    one = sketches.select(F.col("c").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
+    two = sketches.select(F.col("c").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
+    near = pairs.join(one, "b").join(two, "a").where(100 * F.least("nx", "ny") >= THRESHOLD * F.greatest("nx", "ny"))
+    return near.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
 
@@ -253,11 +296,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                if 100 * len(x) >= THRESHOLD * len(y):
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int((y[at] == x).sum())
-                    ok[k] = 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
+                ok[k] = 100 * both >= THRESHOLD * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     x = sets.select(F.col("c").alias("b"), F.col("x").alias("y"))
@@ -268,36 +310,50 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
+    shared_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = cut(class_table(docs, id_col, text_col))
-    lists = cut(buckets(docs, text_col, key_counts(docs, text_col), parts).select(F.monotonically_increasing_id().alias("list"), "members"))
+    scanned = cut(class_table(docs, id_col, text_col))
+    classes = scanned.where("slot is null").select("id", "n", "c", "d")
+    lists = cut(buckets(docs, text_col, key_counts(scanned), parts).select(F.monotonically_increasing_id().alias("list"), "members"))
     pairs = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
     members = lists.select(F.explode("members").alias("c")).distinct()
-    wanted = classes.groupBy("c").agg(F.min("id").alias("id")).join(members, "c")
-    at = scratch(spark, "sets")
-    class_sets(docs, wanted, id_col, text_col).write.parquet(at)
-    sets = spark.read.parquet(at)
-    links = cut(verified(pairs, sets))
+    sketches = cut(scanned.where("slot is null and n > 0").join(members, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"), F.min_by("sketch", "d").alias("sketch"), F.min("n").alias("n")))
+    candidates = cut(possible(pairs, sketches))
+    # only sets that take part in a likely link are fetched; they lie bucketed, so that no later round moves them again
+    name = f"shingle_sets_{uuid.uuid4().hex}"
+
+    def fetch(wanted: DataFrame, mode: str) -> None:
+        rows = class_sets(docs, sketches.join(wanted, "c", "left_semi"), id_col, text_col)
+        rows.repartition(parts, "c").write.mode(mode).bucketBy(parts, "c").saveAsTable(name)
+
+    ends = lambda p: p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
+    fetch(ends(candidates), "overwrite")
+    links = cut(verified(candidates, spark.table(name)))
     open_lists, hubs = lists.where(F.size("members") > 2), 1
     while True:
         roots = components(links)
-        if open_lists.isEmpty():
-            break
         # a list is done when its members are one component or all of them have been hubs
         each = open_lists.select("list", F.posexplode("members").alias("pos", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = each.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("pos").alias("last")).where("lo <> hi").where(F.col("last") > hubs)
         open_lists = cut(open_lists.join(split.select("list"), "list", "left_semi"))
         if open_lists.isEmpty():
             break
-        each = each.join(split.select("list"), "list", "left_semi")
+        each = open_lists.select("list", F.posexplode("members").alias("pos", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         hub = each.where(F.col("pos").between(hubs, hubs + HUBS - 1)).select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
         more = hub.join(each, "list").where("pa < pos and ra <> root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = cut(links.unionByName(verified(more, sets)))
+        more = cut(possible(more, sketches))
         hubs += HUBS
+        if more.isEmpty():
+            continue
+        lacking = ends(more).join(spark.table(name).select("c"), "c", "left_anti")
+        if not lacking.isEmpty():
+            fetch(cut(lacking), "append")
+        links = cut(links.unionByName(verified(more, spark.table(name))))
     known = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     whole = known.where("n > 0")
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = whole.join(least, "root").select("id", "n", "component_id")
+    spark.sql(f"DROP TABLE {name}")
     out = linked.unionByName(classes.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
