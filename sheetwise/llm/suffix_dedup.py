@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textscan import range_hash, running, slices
+from .textscan import power_tables, running, slices
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
 #: A suffix row: WIDTH bytes from the anchor on, SPAN - 1 bytes before it backwards, and the two lengths plus one.
 ROW = WIDTH + SPAN - 1 + 2
 HASH_BITS = 40
+#: Bytes scanned at once: the arrays over them then fit into a core's cache.
+SLICE = 1 << 18
 _U = np.uint64
 
 
@@ -57,27 +59,30 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if n < WIDTH:
         return none, none, none, none.astype(np.uint64)
-    at = np.arange(n - GRAM + 1)
-    h = range_hash(running(data), at, at + GRAM)
+    sums, (powers, inverses) = running(data), power_tables(n + 1)
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= inverses[: len(h)]
+    h ^= h >> _U(29)
+    h *= _U(0x9FB21C651E98DF25)
     bits = int(n).bit_length()
-    low = (h >> _U(bits) << _U(bits)) | at.astype(np.uint64)
+    low = h >> _U(bits)
+    low <<= _U(bits)
+    low |= np.arange(len(h), dtype=np.uint64)
     size = 1
     while 2 * size <= SPAN:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :]) if SPAN > size else low
-    where = (low & _U((1 << bits) - 1)).astype(np.int64)
-    start = np.arange(len(where))
-    end_of = np.repeat(bounds[1:], np.diff(bounds))[: len(where)]
-    start = start[start + WIDTH <= end_of]
-    where = where[start]
-    if not len(start):
-        return none, none, none, none.astype(np.uint64)
-    new = np.append(True, (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    p = where[first]
-    return p, start[first], start[last], h[p] >> _U(64 - HASH_BITS)
+    if SPAN > size:
+        low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :])
+    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    last = np.append(first[1:], len(low)) - 1
+    p = (low[first] & _U((1 << bits) - 1)).astype(np.int64)
+    # only windows inside the document of their anchor count
+    owner = np.searchsorted(bounds, p, side="right") - 1
+    first, last = np.maximum(first, bounds[owner]), np.minimum(last, bounds[owner + 1] - WIDTH)
+    ok = first <= last
+    p = p[ok]
+    return p, first[ok], last[ok], h[p] >> _U(64 - HASH_BITS)
 
 
 class Block:
@@ -91,7 +96,7 @@ class Block:
 
     def anchors(self) -> Iterator[tuple]:
         """(first row, bytes, bounds, anchors as above) of each slice."""
-        for lo, _, data, bounds in slices(self.texts):
+        for lo, _, data, bounds in slices(self.texts, SLICE):
             yield lo, data, bounds, anchors(data, bounds)
 
     def shared_locally(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +222,7 @@ def send_suffixes(parts: int):
             place.append(np.stack([block.ids[lo + owner], lo + owner, p - bounds[owner]], axis=1))
         m, place, h = np.concatenate(rows), np.concatenate(place), np.concatenate(hashes)
         bucket = np.searchsorted(bucket_edges_values(parts), h, side="right") - 1
-        order = np.lexsort((m.view(f"S{ROW}").ravel(), bucket)) if len(m) else np.zeros(0, np.int64)
+        order = sort_rows(m, bucket)
         m, place, bucket = m[order], place[order], bucket[order]
         edge, out = np.searchsorted(bucket, np.arange(parts + 1)), []
         for b in range(parts):
@@ -233,6 +238,25 @@ def send_suffixes(parts: int):
     return run
 
 
+def sort_rows(m: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The order of suffix rows within their buckets.
+
+    A row's first eight bytes and its bucket decide nearly all; the rest is only read for rows that tie there.
+    """
+    words = np.zeros((len(m), -(-ROW // 8) * 8), np.uint8)
+    words[:, :ROW] = m
+    words = words.view(">u8").astype(np.uint64)
+    order = np.lexsort((words[:, 2], words[:, 1], words[:, 0], bucket))
+    tied = (words[order[1:], :3] == words[order[:-1], :3]).all(axis=1) & (bucket[order[1:]] == bucket[order[:-1]])
+    tied = np.append(False, tied) | np.append(tied, False)
+    at = np.flatnonzero(tied)
+    if len(at):
+        group = np.cumsum(np.append(True, (words[order[at[1:]], :3] != words[order[at[:-1]], :3]).any(axis=1) | (bucket[order[at[1:]]] != bucket[order[at[:-1]]])))
+        sub = order[at]
+        order[at] = sub[np.lexsort((*(words[sub, k] for k in range(words.shape[1] - 1, 2, -1)), group))]
+    return order
+
+
 def bucket_edges_values(parts: int) -> np.ndarray:
     return (np.arange(parts, dtype=object) * (1 << HASH_BITS) // parts).astype(np.uint64)
 
@@ -288,70 +312,84 @@ class LoserTree:
             self.winner = w
 
 
-def settle(group: list[tuple[bytes, list[tuple[int, np.ndarray]]]], out: dict[int, list[np.ndarray]]) -> None:
-    """Adds the removed ranges of suffixes with one anchor string to out, by run: rows of (text, start, end)."""
-    least: dict[tuple[int, bytes], int] = {}
+def settle(group: list, ids: list[list[int]], ords: list[list[int]], ats: list[list[int]], out: dict[int, list[int]]) -> None:
+    """Adds the removed ranges of suffixes with one anchor string to out, by run: text, start and end in turn.
+
+    group: [suffix row, [(run, from, to), ...]] for distinct rows; ids, ords and ats hold the places of each run.
+    """
+    if len(group) == 1:
+        row, where = group[0]
+        low = min(min(ids[r][i:j]) for r, i, j in where)
+        right, left = row[ROW - 2] - 1, row[ROW - 1] - 1
+        for r, i, j in where:
+            for k in range(i, j):
+                if ids[r][k] > low:
+                    out.setdefault(r, []).extend((ords[r][k], ats[r][k] - left, ats[r][k] + right))
+        return
+    least: dict[bytes, int] = {}
     plans = []
-    for row, places in group:
+    for row, where in group:
         right, left = row[ROW - 2] - 1, row[ROW - 1] - 1
-        low = min(int(p[:, 0].min()) for _, p in places)
-        plans.append((right, left, low))
-        if len(group) > 1:
-            back = row[WIDTH : ROW - 2]
-            for k in range(WIDTH - right, left + 1):
-                w = (k, back[:k] + row[: WIDTH - k])
-                if low < least.get(w, 1 << 62):
-                    least[w] = low
-    for (row, places), (right, left, low) in zip(group, plans):
-        if len(group) == 1:
-            floor = np.full(left - WIDTH + right + 1, low)
-        else:
-            back = row[WIDTH : ROW - 2]
-            floor = np.array([least[k, back[:k] + row[: WIDTH - k]] for k in range(WIDTH - right, left + 1)])
-        top, bottom = int(floor.max()), int(floor.min())
-        for run, p in places:
-            whole = p[:, 0] > top
-            if whole.any():
-                q = p[whole]
-                out.setdefault(run, []).append(np.stack([q[:, 1], q[:, 2] - left, q[:, 2] + right], axis=1))
-            for q in p[~whole & (p[:, 0] > bottom)]:
-                hit = np.flatnonzero(floor < q[0])
-                cuts = np.flatnonzero(np.diff(hit) > 1)
-                for i, j in zip(np.append(0, cuts + 1), np.append(cuts, len(hit) - 1)):
-                    near, far = hit[i] + WIDTH - right, hit[j] + WIDTH - right
-                    out.setdefault(run, []).append(np.array([[q[1], q[2] - far, q[2] - near + WIDTH]]))
+        low = min(min(ids[r][i:j]) for r, i, j in where)
+        # a window: how far it begins before the anchor, the bytes before it backwards, the bytes from it on
+        windows = [b"%c" % k + row[WIDTH : WIDTH + k] + row[: WIDTH - k] for k in range(WIDTH - right, left + 1)]
+        plans.append((right, left, windows))
+        for w in windows:
+            if low < least.get(w, low + 1):
+                least[w] = low
+    for (_, where), (right, left, windows) in zip(group, plans):
+        floor = [least[w] for w in windows]
+        top, bottom = max(floor), min(floor)
+        for r, i, j in where:
+            for k in range(i, j):
+                own, at = ids[r][k], ats[r][k]
+                if own > top:
+                    out.setdefault(r, []).extend((ords[r][k], at - left, at + right))
+                elif own > bottom:
+                    mine, m, size = out.setdefault(r, []), 0, len(floor)
+                    while m < size:
+                        if floor[m] < own:
+                            e = m
+                            while e + 1 < size and floor[e + 1] < own:
+                                e += 1
+                            mine.extend((ords[r][k], at - (e + WIDTH - right), at - (m + WIDTH - right) + WIDTH))
+                            m = e
+                        m += 1
 
 
 def merge_bucket(key, t):
-    runs = [r for r in t["run"].to_pylist()]
-    places, taken = [], []
+    runs = t["run"].to_pylist()
+    ids, ords, ats, edges, taken = [], [], [], [], []
     for raw, run in zip(t["places"].to_pylist(), runs):
         n = int.from_bytes(run[:4], "little")
         counts = np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)
         total = int(counts.sum())
-        ids = np.frombuffer(raw[4 * n : 4 * n + 8 * total], "<i8")
-        rest = np.frombuffer(raw[4 * n + 8 * total :], "<u4").astype(np.int64).reshape(2, total)
-        places.append((np.stack([ids, rest[0], rest[1]], axis=1), np.concatenate([[0], np.cumsum(counts)]).tolist()))
+        ids.append(np.frombuffer(raw[4 * n : 4 * n + 8 * total], "<i8").tolist())
+        ords.append(np.frombuffer(raw[4 * n + 8 * total : 4 * n + 12 * total], "<u4").tolist())
+        ats.append(np.frombuffer(raw[4 * n + 12 * total :], "<u4").tolist())
+        edges.append([0, *np.cumsum(counts).tolist()])
         taken.append(0)
-    out: dict[int, list[np.ndarray]] = {}
+    out: dict[int, list[int]] = {}
     group: list = []
+
+    def close() -> None:
+        if len(group) > 1 or group and (len(group[0][1]) > 1 or group[0][1][0][2] - group[0][1][0][1] > 1):
+            settle(group, ids, ords, ats, out)
+
     for run, row, known in LoserTree([decode_run(r) for r in runs]):
         k = taken[run]
-        taken[run] += 1
-        rows, edge = places[run]
-        mine = (run, rows[edge[k] : edge[k + 1]])
+        taken[run] = k + 1
+        mine = (run, edges[run][k], edges[run][k + 1])
         if group and known >= ROW:
             group[-1][1].append(mine)
             continue
-        if group and known < GRAM:
-            if len(group) > 1 or len(group[0][1]) > 1 or len(group[0][1][0][1]) > 1:
-                settle(group, out)
+        if known < GRAM:
+            close()
             group = []
         group.append((row, [mine]))
-    if group:
-        settle(group, out)
+    close()
     blocks = t["block"].to_pylist()
-    done = [{"block": blocks[r], "cuts": np.concatenate(v).astype("<u4").tobytes()} for r, v in out.items()]
+    done = [{"block": blocks[r], "cuts": np.array(v, "<u4").tobytes()} for r, v in out.items()]
     return pa.Table.from_pylist(done, pa.schema([("block", pa.int64()), ("cuts", pa.binary())]))
 
 

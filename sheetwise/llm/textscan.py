@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         size = max(n, SLICE + 65536)
@@ -54,14 +54,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def running(data: np.ndarray, fold: bool = False) -> np.ndarray:
     """Running sums from which range_hash() reads the hash of any byte range."""
-    powers, _ = _power_tables(len(data) + 1)
+    powers, _ = power_tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _TABLE)[data] * powers[: len(data)], out=out[1:])
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverses = _power_tables(len(sums))
+    _, inverses = power_tables(len(sums))
     return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
 
 
