@@ -136,19 +136,40 @@ def segment_keys(x: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """Counts of a set's shingles in CELLS parts of hash space; the sum of the lesser counts of two sets bounds their intersection."""
-    return np.minimum(np.bincount((x >> _U(20) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
+    """Counts of a set's shingles in parts of hash space, about four to a part; the lesser counts of two sets bound their intersection."""
+    cells = CELLS
+    while 4 * cells < len(x):
+        cells *= 2
+    return np.minimum(np.bincount((x >> _U(20) & _U(cells - 1)).astype(np.int64), minlength=cells), 65535).astype("<u2").tobytes()
+
+
+def _fold(x: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of counts, summed to fewer cells."""
+    while x.shape[1] > cells:
+        half = x.shape[1] // 2
+        x = x[:, :half] + x[:, half:]
+    return x
 
 
 def class_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over the texts for two kinds of rows.
 
     For every document (slot null): id, n (set size), c and d (hashes of its set) and
-    its sketch. For keys that REPORTED documents of a slice share: slot and n, their count.
+    its sketch. For keys that REPORTED documents of a task share: slot and n, their count.
     """
     names = ["id", "n", "c", "d", "sketch", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, kind = [], 0, None
+
+        def counted():
+            nonlocal keys, held
+            key, m = np.unique(np.concatenate(keys), return_counts=True)
+            keys, held, at = [], 0, m >= REPORTED
+            k = int(at.sum())
+            none = pa.nulls(k, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.array(m[at].astype(np.int64)), none, none, pa.nulls(k, pa.binary()), pa.array((key[at] % _U(SLOTS)).astype(np.int64))], names)
+
         for b in batches:
             kind = b.column(0).type
             for lo, hi, s in scans(b.column(1), fold=True):
@@ -156,20 +177,20 @@ def class_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n, (c, d) = [len(x) for x in sets], zip(*[signature(x) if len(x) else (0, 0) for x in sets])
                 cells = [sketch(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(hi - lo, pa.int64())], names)
-                keys = [segment_keys(x, None) for x in sets if len(x)]
-                if keys:
-                    key, m = np.unique(np.concatenate(keys), return_counts=True)
-                    at = m >= REPORTED
-                    k = int(at.sum())
-                    none = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.array(m[at].astype(np.int64)), none, none, pa.nulls(k, pa.binary()), pa.array((key[at] % _U(SLOTS)).astype(np.int64))], names)
+                fresh = [segment_keys(x, None) for x in sets if len(x)]
+                keys += fresh
+                held += sum(map(len, fresh))
+                if held > 4_000_000:
+                    yield counted()
+        if keys:
+            yield counted()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n bigint, c bigint, d bigint, sketch binary, slot bigint")
 
 
 def key_counts(scanned: DataFrame) -> np.ndarray:
-    """How many documents share a key, by key modulo SLOTS; keys that are rare within every slice count as 0."""
+    """How many documents share a key, by key modulo SLOTS; keys that are rare within every task count as 0."""
     got = scanned.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.float32)  # at most SLOTS rows come to the driver
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
@@ -273,11 +294,18 @@ def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, CELLS).astype(np.int64) for k in (2, 3))
-            both, all_of = np.minimum(x, y).sum(axis=1), b.column(4).to_numpy() + b.column(5).to_numpy()
-            # a cell at its limit says nothing, so the bound is then taken as met
-            full = ((x == 65535) | (y == 65535)).any(axis=1)
-            ok = full | (100 * both >= THRESHOLD * (all_of - both))
+            ok, all_of = np.zeros(b.num_rows, bool), b.column(4).to_numpy() + b.column(5).to_numpy()
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            kinds: dict[tuple[int, int], list[int]] = {}
+            for r, (x, y) in enumerate(zip(left, right)):
+                kinds.setdefault((len(x), len(y)), []).append(r)
+            for (nx, ny), rows in kinds.items():
+                x, y = (np.frombuffer(b"".join(c[r] for r in rows), "<u2").reshape(len(rows), -1).astype(np.int64) for c in (left, right))
+                # a cell at its limit says nothing, so the bound is then taken as met
+                full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+                cells = min(nx, ny) // 2
+                both = np.minimum(_fold(x, cells), _fold(y, cells)).sum(axis=1)
+                ok[rows] = full | (100 * both >= THRESHOLD * (all_of[rows] - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     one = sketches.select(F.col("c").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
