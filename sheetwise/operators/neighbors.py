@@ -146,6 +146,7 @@ def chamfer(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def pair_up(edges: DataFrame, points: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Edges with the columns of both ends as a_.. and b_.."""
+    cols = list(dict.fromkeys(cols))
     a = points.select("i", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = points.select(F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
     return edges.join(a, "i").join(b, "j")
