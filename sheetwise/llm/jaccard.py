@@ -6,15 +6,16 @@ shingles. Sizes fall into bands; a class takes part in its own band and, if a la
 partner could lie there, in the next one. Within a band the hash space of shingles is
 cut into segments, enough for the pigeonhole principle:
 
-* exact allocation: K + 1 + 2 A segments; a pair agrees in at least 1 + 2 A of them;
-* one-deletion allocation: K // 2 + 1 + 2 A segments; in at least 1 + 2 A of them the
+* exact allocation: 2 K + 2 segments, of which a pair agrees in K + 2 or more. All
+  segments are ordered by how many documents share them, then by key; two sets that
+  agree in K + 2 of 2 K + 2 also agree in one of their K + 1 rarest, so only those are
+  written. A common passage or an empty segment comes last and brings no rows together.
+* one-deletion allocation: K // 2 + 1 + 2 A segments; in 1 + 2 A of them or more the
   pair differs by at most one shingle, so the segment of one, or it less one shingle,
-  equals the other's.
+  equals the other's. Each class leaves out the A most shared ones, A = K // 8.
 
-Each band takes the allocation of lower cost: keys to write against the rows that
-short segments bring together by chance. A is the number of segments that each class
-may leave out, and still one that both keep agrees; left out are the segments that
-most rows share (a common passage, an empty segment), by counts over all documents.
+Each band takes the allocation of lower cost: keys to write against chance meetings of
+short segments. How many documents share a key is counted over all documents.
 
 Members of a bucket are compared with its least member, not with each other. Verified
 links are contracted to components, and only members of buckets that still span
@@ -50,9 +51,9 @@ THRESHOLD = 80
 #: A band spans sizes up to this ratio.
 BAND = 1.6
 #: Slots of the table of key counts, and the least count in a task that is reported to it.
-SLOTS, REPORTED = 1 << 20, 4
-#: Members of an unresolved bucket that are compared with all others in one round.
-HUBS = 32
+SLOTS, REPORTED = 1 << 20, 3
+#: Members of an unresolved bucket that are compared with all others in the first round; twice as many in each further one.
+HUBS = 64
 #: Cells of a sketch, and bytes of a key in a run: the part of a bucket and 40 bits; keys that meet by chance only cost a comparison.
 CELLS, KEY_BYTES = 128, 5
 _U = np.uint64
@@ -92,30 +93,26 @@ def bands() -> list[tuple[int, int]]:
 
 @lru_cache(maxsize=None)
 def allocation(band: int) -> tuple[int, int, bool]:
-    """(segments, segments left out, one-deletion?) of a band; the cheaper of the two allocations."""
+    """(segments, K, one-deletion?) of a band; the cheaper of the two allocations."""
     lo, hi = bands()[band]
     most = 2 * (hi - 1) * (100 - THRESHOLD) // (100 + THRESHOLD)
     size = (lo + hi) / 2
-    skip = most // 8
-    best = None
-    for deletion in (False, True):
-        m = (most // 2 if deletion else most) + 1 + 2 * skip
-        keys = m + size * deletion
-        # short segments meet by chance: e to the minus their length is the share of empty ones
-        cost = keys * (1 + 200 * np.exp(-2 * size / m))
-        if best is None or cost < best[0]:
-            best = (cost, m, skip, deletion)
-    return best[1:]
+    exact, deletion = 2 * most + 2, most // 2 + 1 + 2 * (most // 8)
+    # keys to write, and chance meetings: e to the minus its length is the share of segments that others empty
+    cost = (most + 1) * (1 + 20 * np.exp(-2 * size / exact)), (deletion + size) * (1 + 20 * np.exp(-2 * size / deletion))
+    return (exact, most, False) if cost[0] <= cost[1] else (deletion, most, True)
 
 
 def segment_keys(x: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-    """The keys of a set in its own band and in the next if a larger partner could lie there."""
-    n, out = len(x), []
+    """The keys of a set in its own band and in the next if a larger partner could lie there; without counts, all of them."""
+    n, out = len(x), [np.zeros(0, np.uint64)]
     own = int(np.searchsorted([b[0] for b in bands()], n, side="right")) - 1
     for band in (own, own + 1):
         if band > own and 100 * n < THRESHOLD * bands()[band][0]:
             break
-        m, skip, deletion = allocation(band)
+        m, most, deletion = allocation(band)
+        if not most:
+            continue  # different sets of these sizes cannot link
         seg = ((x >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
         value = mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
@@ -124,10 +121,10 @@ def segment_keys(x: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
         plain = total[edge[1:]] - total[edge[:-1]]
         whole = mix(plain ^ tag)
         kept = np.ones(m, bool)
-        if skip and counts is not None:
+        if counts is not None:
             c = counts[(whole % _U(SLOTS)).astype(np.int64)]
-            worst = np.argsort(-(c * 64.0) + np.minimum(np.diff(edge), 63), kind="stable")[:skip]
-            kept[worst] = False
+            rare = np.lexsort((whole, c))
+            kept[rare[m - most // 8 :] if deletion else rare[most + 1 :]] = False
         out.append(whole[kept])
         if deletion:
             less = mix((plain[seg] - value) ^ tag[seg])
@@ -357,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = lambda p: p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
     fetch(ends(candidates), "overwrite")
     links = cut(verified(candidates, spark.table(name)))
-    open_lists, hubs = lists.where(F.size("members") > 2), 1
+    open_lists, hubs, step = lists.where(F.size("members") > 2), 1, HUBS
     while True:
         roots = components(links)
         # a list is done when its members are one component or all of them have been hubs
@@ -367,10 +364,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if open_lists.isEmpty():
             break
         each = open_lists.select("list", F.posexplode("members").alias("pos", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hub = each.where(F.col("pos").between(hubs, hubs + HUBS - 1)).select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
+        hub = each.where(F.col("pos").between(hubs, hubs + step - 1)).select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
         more = hub.join(each, "list").where("pa < pos and ra <> root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         more = cut(possible(more, sketches))
-        hubs += HUBS
+        hubs, step = hubs + step, 2 * step
         if more.isEmpty():
             continue
         lacking = ends(more).join(spark.table(name).select("c"), "c", "left_anti")
