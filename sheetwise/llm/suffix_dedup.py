@@ -32,7 +32,9 @@ whole; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +87,33 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return p, first[ok], last[ok], h[p] >> _U(64 - HASH_BITS)
 
 
+def give_back() -> None:
+    """Freed memory back to the system: a worker serves many groups one after the other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def grouped(f):
+    def run(key, t):
+        out = f(key, t)
+        give_back()
+        return out
+
+    return run
+
+
+def paired(f):
+    def run(key, t, more):
+        out = f(key, t, more)
+        give_back()
+        return out
+
+    return run
+
+
 class Block:
     """The rows of a block in an order that depends on their contents only."""
 
@@ -312,7 +341,7 @@ class LoserTree:
             self.winner = w
 
 
-def settle(group: list, ids: list[list[int]], ords: list[list[int]], ats: list[list[int]], out: dict[int, list[int]]) -> None:
+def settle(group: list, ids: list[array], ords: list[array], ats: list[array], out: dict[int, array]) -> None:
     """Adds the removed ranges of suffixes with one anchor string to out, by run: text, start and end in turn.
 
     group: [suffix row, [(run, from, to), ...]] for distinct rows; ids, ords and ats hold the places of each run.
@@ -324,7 +353,7 @@ def settle(group: list, ids: list[list[int]], ords: list[list[int]], ats: list[l
         for r, i, j in where:
             for k in range(i, j):
                 if ids[r][k] > low:
-                    out.setdefault(r, []).extend((ords[r][k], ats[r][k] - left, ats[r][k] + right))
+                    out.setdefault(r, array("I")).extend((ords[r][k], ats[r][k] - left, ats[r][k] + right))
         return
     least: dict[bytes, int] = {}
     plans = []
@@ -344,9 +373,9 @@ def settle(group: list, ids: list[list[int]], ords: list[list[int]], ats: list[l
             for k in range(i, j):
                 own, at = ids[r][k], ats[r][k]
                 if own > top:
-                    out.setdefault(r, []).extend((ords[r][k], at - left, at + right))
+                    out.setdefault(r, array("I")).extend((ords[r][k], at - left, at + right))
                 elif own > bottom:
-                    mine, m, size = out.setdefault(r, []), 0, len(floor)
+                    mine, m, size = out.setdefault(r, array("I")), 0, len(floor)
                     while m < size:
                         if floor[m] < own:
                             e = m
@@ -364,12 +393,12 @@ def merge_bucket(key, t):
         n = int.from_bytes(run[:4], "little")
         counts = np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)
         total = int(counts.sum())
-        ids.append(np.frombuffer(raw[4 * n : 4 * n + 8 * total], "<i8").tolist())
-        ords.append(np.frombuffer(raw[4 * n + 8 * total : 4 * n + 12 * total], "<u4").tolist())
-        ats.append(np.frombuffer(raw[4 * n + 12 * total :], "<u4").tolist())
-        edges.append([0, *np.cumsum(counts).tolist()])
+        ids.append(array("q", raw[4 * n : 4 * n + 8 * total]))
+        ords.append(array("I", raw[4 * n + 8 * total : 4 * n + 12 * total]))
+        ats.append(array("I", raw[4 * n + 12 * total :]))
+        edges.append(array("q", np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes()))
         taken.append(0)
-    out: dict[int, list[int]] = {}
+    out: dict[int, array] = {}
     group: list = []
 
     def close() -> None:
@@ -389,7 +418,7 @@ def merge_bucket(key, t):
         group.append((row, [mine]))
     close()
     blocks = t["block"].to_pylist()
-    done = [{"block": blocks[r], "cuts": np.array(v, "<u4").tobytes()} for r, v in out.items()]
+    done = [{"block": blocks[r], "cuts": v.tobytes()} for r, v in out.items()]
     return pa.Table.from_pylist(done, pa.schema([("block", pa.int64()), ("cuts", pa.binary())]))
 
 
@@ -429,15 +458,15 @@ def cut_block(with_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every document; with_text adds the remaining bytes as `kept`."""
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.col(id_col).isNull().alias("missing"), text.alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("id", "tie"), F.lit(parts)))
     rows = rows.repartition("block")
-    marks = rows.groupBy("block").applyInArrow(send_hashes(parts), "block bigint, bucket bigint, run binary").groupBy("bucket").applyInArrow(mark_shared, "block bigint, bucket bigint, run binary")
-    runs = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(send_suffixes(parts), "block bigint, bucket bigint, run binary, places binary")
-    cuts = runs.groupBy("bucket").applyInArrow(merge_bucket, "block bigint, cuts binary")
-    out = rows.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(cut_block(with_text), f"id bigint, {RESULT}" + ", kept binary" * with_text)
+    marks = rows.groupBy("block").applyInArrow(grouped(send_hashes(parts)), "block bigint, bucket bigint, run binary").groupBy("bucket").applyInArrow(grouped(mark_shared), "block bigint, bucket bigint, run binary")
+    runs = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(paired(send_suffixes(parts)), "block bigint, bucket bigint, run binary, places binary")
+    cuts = runs.groupBy("bucket").applyInArrow(grouped(merge_bucket), "block bigint, cuts binary")
+    out = rows.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(paired(cut_block(with_text)), f"id bigint, {RESULT}" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)
 
 
