@@ -17,11 +17,11 @@ cut into segments, enough for the pigeonhole principle:
 Each band takes the allocation of lower cost: keys to write against chance meetings of
 short segments. How many documents share a key is counted over all documents.
 
-Members of a bucket are compared with its least member, not with each other. Verified
+Each class is first compared with one other, the least member of its buckets. Verified
 links are contracted to components, and only members of buckets that still span
-several components are compared further, in blocks of hubs, until none is left
-untested: no link between different sets is lost, and copies are never expanded into
-pairs. Similarities are computed on the full sets of 64-bit shingle hashes.
+several components are compared further, with the bucket's first member and then in
+blocks of hubs, until none is left untested: no link between different sets is lost, and copies are never expanded into
+pairs. Similarities are computed on the full sets, as 48-bit shingle hashes.
 
 Defined results: words are runs of characters other than space and 0x09-0x0D with
 A-Z lower-cased; with 1 to 4 words the whole sequence is the only shingle; null, empty and
@@ -56,6 +56,8 @@ SLOTS, REPORTED = 1 << 20, 3
 HUBS = 64
 #: Cells of a sketch, and bytes of a key in a run: the part of a bucket and 40 bits; keys that meet by chance only cost a comparison.
 CELLS, KEY_BYTES = 128, 5
+#: Ids that are sent to all tasks rather than joined, at most.
+BROADCAST = 1_000_000
 _U = np.uint64
 
 
@@ -274,16 +276,32 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
     return lists.distinct()
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Sorted hashes as their upper 48 bits: two of a pair of sets agree by chance once in a billion pairs."""
+    return np.ascontiguousarray(x >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, x): the set of each wanted class as sorted 64-bit numbers; wanted holds the id of a document of each."""
+    """(c, x): the packed set of each wanted class; wanted holds the id of a document of each.
+
+    Up to BROADCAST ids, which are counted first, the ids go to the texts; beyond that both are joined by id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(signature(x)[0], x.tobytes()) for _, _, s in scans(b.column(0), fold=True) for x in shingle_sets(s) if len(x)]
+            rows = [(signature(x)[0], pack(x)) for _, _, s in scans(b.column(0), fold=True) for x in shingle_sets(s) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "x"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    return rows.join(wanted.select("id").distinct(), "id", "left_semi").select("t").mapInArrow(run, "c bigint, x binary").dropDuplicates(["c"])
+    ids = wanted.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    return rows.join(ids, "id", "left_semi").select("t").mapInArrow(run, "c bigint, x binary")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -318,7 +336,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpack(x.as_py()), unpack(y.as_py())
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -340,7 +358,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scanned = cut(class_table(docs, id_col, text_col))
     classes = scanned.where("slot is null").select("id", "n", "c", "d")
     lists = cut(buckets(docs, text_col, key_counts(scanned), parts).select(F.monotonically_increasing_id().alias("list"), "members"))
-    pairs = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
+    # to begin with, one pair for each class: with the least first member of its buckets
+    first = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
+    pairs = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     members = lists.select(F.explode("members").alias("c")).distinct()
     sketches = cut(scanned.where("slot is null and n > 0").join(members, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"), F.min_by("sketch", "d").alias("sketch"), F.min("n").alias("n")))
     candidates = cut(possible(pairs, sketches))
@@ -349,12 +369,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def fetch(wanted: DataFrame, mode: str) -> None:
         rows = class_sets(docs, sketches.join(wanted, "c", "left_semi"), id_col, text_col)
-        rows.repartition(parts, "c").write.mode(mode).bucketBy(parts, "c").saveAsTable(name)
+        rows.repartition(parts, "c").dropDuplicates(["c"]).write.mode(mode).bucketBy(parts, "c").saveAsTable(name)
 
     ends = lambda p: p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
     fetch(ends(candidates), "overwrite")
     links = cut(verified(candidates, spark.table(name)))
-    open_lists, hubs, step = lists.where(F.size("members") > 2), 1, HUBS
+    open_lists, hubs, step = lists, 0, 1
     while True:
         roots = components(links)
         # a list is done when its members are one component or all of them have been hubs
@@ -367,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hub = each.where(F.col("pos").between(hubs, hubs + step - 1)).select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
         more = hub.join(each, "list").where("pa < pos and ra <> root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         more = cut(possible(more, sketches))
-        hubs, step = hubs + step, 2 * step
+        hubs, step = hubs + step, HUBS if step == 1 else 2 * step
         if more.isEmpty():
             continue
         lacking = ends(more).join(spark.table(name).select("c"), "c", "left_anti")
