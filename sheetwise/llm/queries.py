@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, jaccard, pii, quality_rules, suffix_dedup, token_store, warc
+from . import bpe, chat, decontaminate, importance, jaccard, oracles, pii, quality_rules, suffix_dedup, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL}
+    return oracles.oracle_sql()
