@@ -38,3 +38,31 @@ def ambient_dims(n: int, levels: int) -> list[int]:
     for _ in range(levels):
         out.append(out[-1] + out[-1] ** 2)
     return out
+
+
+def perm_sign(order: Sequence[int]) -> int:
+    """1 for an even order of 0..n-1, -1 for an odd one."""
+    out, left = 1, list(order)
+    for k in range(len(left)):
+        while left[k] != k:
+            j = left[k]
+            left[k], left[j] = left[j], left[k]
+            out = -out
+    return out
+
+
+def blade(u: Sequence[str], v: Sequence[str]) -> dict[tuple[int, int], str]:
+    """Pluecker coordinates of the plane of two vectors: all 2 x 2 minors, by the pair of rows."""
+    n = len(u)
+    return {(i, j): f"(({u[i]}) * ({v[j]}) - ({u[j]}) * ({v[i]}))" for i in range(n) for j in range(i + 1, n)}
+
+
+def hodge_pairs(n: int, d: int) -> dict[tuple[int, ...], tuple[tuple[int, ...], int]]:
+    """For each choice of d of n axes, the other axes and the sign of both together as an order."""
+    from itertools import combinations
+
+    out = {}
+    for own in combinations(range(n), d):
+        rest = tuple(k for k in range(n) if k not in own)
+        out[own] = (rest, perm_sign(own + rest))
+    return out

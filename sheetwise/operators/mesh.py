@@ -77,3 +77,36 @@ def merge_meshes(meshes: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame,
         vertices, faces = (v, f) if vertices is None else (vertices.unionByName(v), faces.unionByName(f))
         dv, df = dv + (-1 if top_v is None else top_v) + 1, df + (-1 if top_f is None else top_f) + 1
     return vertices, faces
+
+
+def silhouette(grid: DataFrame, view: tuple[float, float, float]) -> DataFrame:
+    """(iu, iv, axis, x0..x2): points on the edges of a grid (iu, iv, x0..x2, n0..n2) where the normal turns across the view.
+
+    Neighbours in a row or column are adjacent rows of a window, so nothing is joined.
+    """
+    facing = " + ".join(f"n{k} * {float(c)!r}" for k, c in enumerate(view))
+    g = grid.withColumn("f", F.expr(f"cast({facing} as double)"))
+    out = None
+    for axis, along, across in (("u", "iu", "iv"), ("v", "iv", "iu")):
+        w = W.partitionBy(across).orderBy(along)
+        nxt = g.select("iu", "iv", "x0", "x1", "x2", "f", F.lead(along).over(w).alias("_at"), F.lead("f").over(w).alias("_f"), *[F.lead(f"x{k}").over(w).alias(f"_x{k}") for k in range(3)])
+        hit = nxt.where((F.col("_at") == F.col(along) + 1) & (F.col("f") * F.col("_f") < 0)).withColumn("s", F.col("f") / (F.col("f") - F.col("_f")))
+        part = hit.select("iu", "iv", F.lit(axis).alias("axis"), *[(F.col(f"x{k}") + F.col("s") * (F.col(f"_x{k}") - F.col(f"x{k}"))).alias(f"x{k}") for k in range(3)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def image_plane(df: DataFrame, view: tuple[float, float, float]) -> DataFrame:
+    """(.., p, q): coordinates in the plane across the view."""
+    from math import sqrt
+
+    n = sqrt(sum(c * c for c in view))
+    v = [c / n for c in view]
+    axis = min(range(3), key=lambda k: abs(v[k]))
+    seed = [1.0 if k == axis else 0.0 for k in range(3)]
+    e1 = [v[1] * seed[2] - v[2] * seed[1], v[2] * seed[0] - v[0] * seed[2], v[0] * seed[1] - v[1] * seed[0]]
+    m = sqrt(sum(c * c for c in e1))
+    e1 = [c / m for c in e1]
+    e2 = [v[1] * e1[2] - v[2] * e1[1], v[2] * e1[0] - v[0] * e1[2], v[0] * e1[1] - v[1] * e1[0]]
+    at = lambda e: sum((F.col(f"x{k}") * e[k] for k in range(3)), F.lit(0.0))
+    return df.withColumns({"p": at(e1), "q": at(e2)})
