@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions import vectors as V
 from sheetwise.functions.symbolic import num
-from sheetwise.operators import calculus, cluster, components, frames, heat, kernels, lift, mesh, neighbors
+from sheetwise.operators import calculus, cluster, components, frames, heat, implicit, kernels, levels, lift, mesh, neighbors, reconstruct, rewrites
 from sheetwise.sources import generators as G
 from sheetwise.sources.catalogue import curves, surfaces
 
@@ -223,6 +223,43 @@ def _relational() -> dict[str, tuple[Query, str | None]]:
     return out
 
 
+def _rewrites() -> dict[str, tuple[Query, str | None]]:
+    out: dict[str, tuple[Query, str | None]] = {}
+
+    def add(name: str, query: Query, sql: str | None = None) -> None:
+        out[name] = (query, sql)
+
+    line = "greatest(1 - pow(e.u0 * q.u0 + e.u1 * q.u1, 2), 0)"
+    d2 = V.dist2(["e.x0", "e.x1"], ["q.x0", "q.x1"])
+    add("distance_fields_fig8", lambda s, d: _rounded(rewrites.distance_fields(_fig8(s), X2, U2, 17), ["i"], ["euclid", "product"]),
+        f"WITH e AS ({FIG8_SQL}) SELECT e.i, {V.shown(f'sqrt({d2})', 'euclid')}, {V.shown(f'sqrt({d2} + {line})', 'product')} FROM e, e q WHERE q.i = 17")
+    add("closest_part", lambda s, d: rewrites.closest(_parts(s, d), "x1", 25).select("i"), f"WITH e AS ({PART_SQL}) SELECT i FROM e ORDER BY x1, i LIMIT 25")
+    add("clamp_prices", lambda s, d: _rounded(rewrites.clamp(_parts(s, d), "x1", 5.0, False), ["i"], ["x1"]),
+        f"WITH e AS ({PART_SQL}), b AS (SELECT quantile_cont(x1, 0.95) AS hi FROM e) SELECT i, {V.shown('greatest(0, least(hi, x1))', 'x1')} FROM e, b")
+    add("rotate_torus", lambda s, d: _rounded(rewrites.rotate(TORUS_DF(s), X3, [0, 0, 1], 0.5), ["i"], X3),
+        f"WITH e AS ({TORUS_SQL}) SELECT i, {V.shown(f'x0 * cos({num(0.5)}) - x1 * sin({num(0.5)})', 'x0')}, {V.shown(f'x0 * sin({num(0.5)}) + x1 * cos({num(0.5)})', 'x1')}, {V.shown('x2', 'x2')} FROM e")
+    add("level_bounds_part", lambda s, d: _rounded(rewrites.level_bounds(_parts(s, d), "x1", 4), ["level"], ["bound"]),
+        f"WITH e AS ({PART_SQL}) SELECT range AS level, {V.shown('(SELECT min(x1) FROM e) + ((SELECT max(x1) FROM e) - (SELECT min(x1) FROM e)) * range / 4', 'bound')} FROM range(5)")
+    add("finite_torus", lambda s, d: _rounded(rewrites.finite(TORUS_DF(s), X3, N3), ["i"], N3), f"SELECT i, {_shown(N3)} FROM ({TORUS_SQL})")
+    add("blades_torus", lambda s, d: _rounded(TORUS_DF(s).select("i", *[F.expr(t).alias(f"b{i}{j}") for (i, j), t in frames.blade(X3, N3).items()]), ["i"], ["b01", "b02", "b12"]),
+        f"SELECT i, {V.shown('x0 * n1 - x1 * n0', 'b01')}, {V.shown('x0 * n2 - x2 * n0', 'b02')}, {V.shown('x1 * n2 - x2 * n1', 'b12')} FROM ({TORUS_SQL})")
+    add("chord_length_helix", lambda s, d: _rounded(reconstruct.chord_length(G.curve_points(s, "helix", 200), X3), ["i"], ["s"]),
+        f"WITH e AS ({G.curve_sql(curves()['helix'], 200, ids=_ids(200))}), k AS (SELECT i, coalesce(sqrt(pow(x0 - lag(x0) OVER w, 2) + pow(x1 - lag(x1) OVER w, 2) + pow(x2 - lag(x2) OVER w, 2)), 0) AS k FROM e WINDOW w AS (ORDER BY i)) SELECT i, {V.shown('sum(k) OVER (ORDER BY i) / (SELECT sum(k) FROM k)', 's')} FROM k")
+    # steps without SQL: modifiers, iterated lifts, splines, networks
+    add("point_noise", lambda s, d: rewrites.point_noise(TORUS_DF(s), X3, 0.01))
+    add("flip_normals", lambda s, d: rewrites.flip(TORUS_DF(s), [N3]))
+    add("silhouette_torus", lambda s, d: mesh.silhouette(TORUS_DF(s).withColumns({"iu": F.floor(F.col("i") / TORUS[1]), "iv": F.col("i") % TORUS[1]}), (0.0, 1.0, 1.0)))
+    add("iterated_lift", lambda s, d: levels.invariants(levels.iterate(_fig8(s).select("i", F.array(*X2).alias("e"), F.array(*U2).alias("u")), 1, 2, 8)[2], 1))
+    add("bspline_eval", lambda s, d: reconstruct.evaluate(s, reconstruct.fit_spline(G.curve_points(s, "helix", 120), X3), 400))
+    add("implicit_projection", lambda s, d: _implicit(s))
+    return out
+
+
+def _implicit(spark: SparkSession) -> DataFrame:
+    p = G.curve_points(spark, "circle", 200).withColumns({"n0": F.col("x0"), "n1": F.col("x1")})
+    return implicit.project(rewrites.point_noise(p, X2, 0.05), X2, implicit.fit(p, X2, V.columns("n", 2), epochs=600))
+
+
 def _heat_circle(spark: SparkSession) -> DataFrame:
     p = G.curve_points(spark, "circle", 120)
     e = neighbors.knn_edges(p, X2, 4)
@@ -243,7 +280,7 @@ def _two_rings(spark: SparkSession) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return _relational() | _catalogue()
+    return _relational() | _rewrites() | _catalogue()
 
 
 def queries() -> dict[str, Query]:
