@@ -8,6 +8,7 @@ buffer, and then mixed; equal words hash alike in every process and run.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,3 +188,30 @@ class RunTable:
         before = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
         return self.data[np.repeat(self.start[rows] - before, lengths) + np.arange(total)], lengths
+
+
+def parts(s: Scan, closing: np.ndarray, special: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, key, parts before each text): words, cut where closing punctuation follows an ASCII letter or digit.
+
+    Keys are the scan's hashes, so they ignore case where it does; a part that contains
+    one of the special beginnings is hashed as it stands.
+    """
+    last = np.where(closing[s.data], -1, np.arange(len(s.data)))
+    np.maximum.accumulate(last, out=last)
+    before = last[s.end - 1] if len(s.end) else last[:0]
+    stem = s.data[np.maximum(before, 0)] if len(s.data) else s.data[:0]
+    alnum = ((stem >= 48) & (stem <= 57)) | ((stem >= 65) & (stem <= 90)) | ((stem >= 97) & (stem <= 122))
+    cut = (before >= s.start) & (before < s.end - 1) & alnum
+    edge = before[cut] + 1
+    more = np.concatenate([[0], np.cumsum(cut)])
+    place = np.flatnonzero(cut)
+    begin, end = np.insert(s.start, place + 1, edge), np.insert(s.end, place, edge)
+    keys = range_hash(s.sums, begin, end)
+    raw = s.data.tobytes() if special else b""
+    for word in special:
+        at = raw.find(word)
+        while at >= 0:
+            k = int(np.searchsorted(begin, at, side="right")) - 1
+            keys[k] = int.from_bytes(hashlib.blake2b(raw[begin[k] : end[k]], digest_size=8).digest(), "little")
+            at = raw.find(word, at + 1)
+    return begin, end, keys, s.first + more[s.first]

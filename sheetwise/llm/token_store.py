@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
 from .common import scratch, table
-from .textscan import RunTable, mix, range_hash, scans
+from .textscan import RunTable, mix, parts, scans
 
 MAGIC = b"TOKSHRD1"
 KEYS_PER_BUCKET = 4
@@ -145,51 +145,39 @@ class LibraryEncoder:
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.closing = np.isin(np.arange(256), list(closing))
+        self.beginnings = tuple({t[:2].encode() for t in self.special})
         self.known = RunTable(self.dtype)
 
     def _alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, each: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The lengths of the ids of parts that are one word each, and all ids."""
-        ids = np.concatenate(self._alone([" ".join(parts[k : k + self.PARTS]) for k in range(0, len(parts), self.PARTS)]))
+        ids = np.concatenate(self._alone([" ".join(each[k : k + self.PARTS]) for k in range(0, len(each), self.PARTS)]))
         return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
 
-    def _others(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _others(self, each: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.special:
             mark, mark_id = next(iter(self.special.items()))
-            ids = self._alone([mark.join(parts)])[0]
+            ids = self._alone([mark.join(each)])[0]
             cuts = np.flatnonzero(ids == mark_id)
-            if len(cuts) == len(parts) - 1:
+            if len(cuts) == len(each) - 1:
                 return np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, np.delete(ids, cuts)
-        runs = self._alone(parts)
+        runs = self._alone(each)
         return np.fromiter(map(len, runs), np.int64, len(runs)), np.concatenate(runs)
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, each: list[str]) -> None:
         """Add new keys and the ids of their parts to the table."""
-        word = np.fromiter((self.ends is not None and bool(self.LETTERS.fullmatch(p)) for p in parts), bool, len(parts))
+        word = np.fromiter((self.ends is not None and bool(self.LETTERS.fullmatch(p)) for p in each), bool, len(each))
         for mask, encode in ((word, self._words), (~word, self._others)):
             if mask.any():
-                self.known.add(keys[mask], *encode([parts[k] for k in np.flatnonzero(mask)]))
-
-    def _parts(self, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and end of every part, and the parts before each text."""
-        last = np.where(self.closing[s.data], -1, np.arange(len(s.data)))
-        np.maximum.accumulate(last, out=last)
-        before = last[s.end - 1] if len(s.end) else last[:0]
-        stem = s.data[np.maximum(before, 0)]
-        alnum = ((stem >= 48) & (stem <= 57)) | ((stem >= 65) & (stem <= 90)) | ((stem >= 97) & (stem <= 122))
-        cut = (before >= s.start) & (before < s.end - 1) & alnum
-        edge = before[cut] + 1
-        more = np.concatenate([[0], np.cumsum(cut)])
-        place = np.flatnonzero(cut)
-        return np.insert(s.start, place + 1, edge), np.insert(s.end, place, edge), s.first + more[s.first]
+                self.known.add(keys[mask], *encode([each[k] for k in np.flatnonzero(mask)]))
 
     def payloads(self, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For slices of an Arrow column: all ids of its texts, and where each text's begin and the last one's end."""
         for _, _, s in scans(column, self.fold):
-            begin, end, texts = self._parts(s)
-            keys, first, inverse = np.unique(range_hash(s.sums, begin, end), return_index=True, return_inverse=True)
+            begin, end, keys, texts = parts(s, self.closing, self.beginnings)
+            keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
             lacking = np.flatnonzero(self.known.missing(keys))
             if len(lacking):
                 raw, at = s.data.tobytes(), first[lacking]

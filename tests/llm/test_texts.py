@@ -65,7 +65,7 @@ def library():
     return Tokenizer.from_file(bpe.default_vocabulary())
 
 
-ODD = ["It's X's don't", "a<|endoftext|>b <|startoftext|>", "<|", "e.,! 9,9 é.,", "\x1c a\x1db", "ΣΑΣ ẞ İ", "é ḍ̇", "x y　z", "한글 ᄀ", "!" * 5000, "ab" * 4000]
+ODD = ["It's X's don't", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|> <|EndOfText|>. <|endoftext|>.", "<|", "e.,! 9,9 é.,", "\x1c a\x1db", "ΣΑΣ ẞ İ", "é ḍ̇", "x y　z", "한글 ᄀ", "!" * 5000, "ab" * 4000]
 
 
 def test_bpe_is_the_library(spark, library):
