@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from urllib.parse import urlparse
 
@@ -56,3 +57,12 @@ def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
         column = column.cast(pa.large_string())
     column = column.cast(pa.large_binary())
     return column.fill_null(b"") if column.null_count else column
+
+
+def give_back() -> None:
+    """Freed memory back to the system: a worker serves many groups one after the other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -179,7 +179,7 @@ def class_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 fresh = [segment_keys(x, None) for x in sets if len(x)]
                 keys += fresh
                 held += sum(map(len, fresh))
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield counted()
         if keys:
             yield counted()
@@ -233,7 +233,7 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
                             keys.append(segment_keys(x, shared.value))
                             owner.append(np.full(len(keys[-1]), seen[c], np.int64))
                             held += len(keys[-1])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield flush()
         if held:
             yield flush()

@@ -32,7 +32,6 @@ whole; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -42,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 from .textscan import power_tables, running, slices
 
 WIDTH, GRAM = 50, 20
@@ -87,15 +86,6 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return p, first[ok], last[ok], h[p] >> _U(64 - HASH_BITS)
 
 
-def give_back() -> None:
-    """Freed memory back to the system: a worker serves many groups one after the other."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def grouped(f):
     def run(key, t):
         out = f(key, t)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .common import binary
+from .common import binary, give_back
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -28,7 +28,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 #: Bytes scanned at once; the arrays take some 60 bytes for each.
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,6 +136,7 @@ def slices(column: pa.ChunkedArray | pa.Array, size: int = SLICE) -> Iterator[tu
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
         yield lo, hi, values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    give_back()
 
 
 def scans(column: pa.ChunkedArray | pa.Array, fold: bool = False) -> Iterator[tuple[int, int, Scan]]:
