@@ -141,6 +141,7 @@ class WordBPE:
         symbols = byte_symbols()
         self.inner, self.last = [vocab[s] for s in symbols], [vocab[s + suffix] for s in symbols]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.beginnings = sorted({s[:2] for s in self.special})
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
@@ -162,16 +163,17 @@ class WordBPE:
     def piece(self, piece: str) -> list[int]:
         """The ids of a text without the white space that splits texts."""
         out: list[int] = []
-        for k, part in enumerate(self.cut.split(piece)):
+        # only a text with the beginning of a special token is searched for one
+        some = self.cut.split(piece) if any(s in piece for s in self.beginnings) else (piece,)
+        for k, part in enumerate(some):
             if k % 2:
                 out.append(self.special[part])
             elif part:
                 if not part.isascii():
-                    part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                else:
-                    part = part.lower()
-                for w in self.split.findall(part):
-                    out += self.word(w)
+                    # character by character there is no final sigma
+                    part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
+                for w in self.split.findall(part.lower()):
+                    out += self.words.get(w) or self.word(w)
         return out
 
     def encode(self, text: str) -> list[int]:
