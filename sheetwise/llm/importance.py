@@ -2,16 +2,20 @@
 
 Two generative models of hashed word unigrams and bigrams are counted: the target
 model over labelled good documents, the raw model over every document. A document's
-weight is the sum of the log ratios of its n-grams, per 100 words. Ratios too small
-to tell from counting noise count as none, so ordinary documents weigh about 0 and
-each n-gram that good text avoids pulls the weight down. Documents are then drawn
+weight is the sum of the log ratios of its n-grams, per 100 words. Ratios within
+`NOISE` standard errors of their own bucket's counts count as none, so ordinary
+documents weigh about 0 and each n-gram that good text avoids pulls the weight down. Documents are then drawn
 without replacement by Gumbel top-k: weight over temperature plus Gumbel noise from
 a hash of the document, and the k largest stay. k is the number of documents above
 the weight that best separates the labelled sample.
 
-The labelled sample is bounded by `LABELLED` rows, picked by a hash of the id; the
-model table by `BUCKETS`. Both models' raw counts, the weights, k and the cut are
-computed over all documents.
+The labelled sample is bounded by `LABELLED` rows, picked by a hash of the id. The
+model table grows with the text of the good ones among them, to about a bucket for
+each of their n-grams, so what shares a bucket with an n-gram adds about one to its
+target count and as much to the count expected of it, however large the corpus; from
+`MOST` buckets on it stays. Both models' raw counts, the weights, k and the cut are
+computed over all documents. Task counts travel as compressed pieces of the table, and
+only ratios that count come to the driver.
 
 Defined results: null and empty texts have weight 0; without usable labels all
 documents stay; repeated rows get equal keys and share their fate, as do ties at the
@@ -29,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 from .textscan import mix, range_hash, scans
 
-BUCKETS = 1 << 17
+#: Buckets of the model table, at least and at most, and the pieces it is summed in.
+FEWEST, MOST, PIECES = 1 << 17, 1 << 24, 256
 LABELLED = 20_000
-#: Pseudo-counts on either side of a ratio, and the least log ratio that counts.
-PRIOR, LEAST = 4.0, 0.7
+#: Pseudo-counts on either side of a ratio, and the standard errors that a log ratio must exceed to count.
+PRIOR, NOISE = 4.0, 2.0
 #: Words of neutral text that every document is given, so that a few words don't decide.
 NEUTRAL_WORDS = 50
 #: The threshold lies this many temperatures below the weight 0; a wrongly rejected labelled document costs as much as so many right rejections.
@@ -43,11 +48,11 @@ SHARPNESS, COST = 20.0, 10.0
 _U = np.uint64
 
 
-def _features(s) -> tuple[np.ndarray, np.ndarray]:
+def _features(s, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every word and every pair of neighbouring words."""
     at, pair = s.windows(2)
     owner = np.repeat(np.arange(len(s.first) - 1), s.n_words)
-    buckets = np.concatenate([s.hashes, pair]) % _U(BUCKETS)
+    buckets = np.concatenate([s.hashes, pair]) % _U(size)
     return np.concatenate([owner, owner[at]]), buckets.astype(np.int64)
 
 
@@ -58,34 +63,99 @@ def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     return picked.select(F.col("doc_id").alias("label_id"), (F.expr("q >= 1 and t = 0")).alias("good"))
 
 
-def ngram_counts(rows: DataFrame) -> np.ndarray:
-    """Counts by bucket, raw and target, over rows of (text, good)."""
+def table_size(n_bytes: int) -> int:
+    """Buckets for so many bytes of good text; an n-gram takes about three bytes of it."""
+    size = FEWEST
+    while size < min(n_bytes // 3, MOST):
+        size *= 2
+    return size
+
+
+def ngram_counts(rows: DataFrame, size: int) -> DataFrame:
+    """(piece, n_raw, n_target, raw, target) over rows of (text, good): the counts of each piece of the table, compressed, and their sums."""
+    width = size // PIECES
+    names, kinds = ["piece", "n_raw", "n_target", "raw", "target"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    pack = lambda x: pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+    def row(piece: int, raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+        values = [piece, int(raw.sum(dtype=np.int64)), int(target.sum(dtype=np.int64)), pack(raw), pack(target)]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+    def pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(PIECES):
+            raw, target = total[:, k * width : (k + 1) * width]
+            if raw.any():
+                yield row(k, raw, target)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total, held = np.zeros((2, size), np.uint32), 0
         for b in batches:
             good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
             for lo, hi, s in scans(b.column(0)):
-                owner, bucket = _features(s)
-                total[0] += np.bincount(bucket, minlength=BUCKETS)
-                total[1] += np.bincount(bucket[good[lo:hi][owner]], minlength=BUCKETS)
-        used = np.flatnonzero(total[0])
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "target"])
+                owner, bucket = _features(s, size)
+                if held + len(bucket) >= 1 << 32:  # before a count could overflow
+                    yield from pieces(total)
+                    total[:], held = 0, 0
+                held += len(bucket)
+                np.add.at(total[0], bucket, np.uint32(1))
+                np.add.at(total[1], bucket[good[lo:hi][owner]], np.uint32(1))
+        yield from pieces(total)
+        del total
+        give_back()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, *both in zip(b.column(0).to_pylist(), b.column(3), b.column(4)):
+                total = sums.setdefault(k, np.zeros((2, width), np.int64))
+                for c, raw in enumerate(both):
+                    total[c] += np.frombuffer(pa.decompress(raw.as_py(), 4 * width, codec="zstd"), np.uint32)
+        for k, (raw, target) in sums.items():
+            yield row(k, raw, target)
+
+    kind = "piece int, n_raw bigint, n_target bigint, raw binary, target binary"
+    parts = min(PIECES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInArrow(count, kind).repartition(parts, "piece").mapInArrow(gather, kind)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
+    """The log ratios by bucket, 0 where the counts can't tell them from none; share: of all n-grams in good text."""
+    expected = raw * share + PRIOR
+    ratio = np.log((target + PRIOR) / expected)
+    return np.where(np.abs(ratio) * np.sqrt(expected) >= NOISE, ratio, 0.0)
 
-    sums = rows.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    out = np.zeros((2, BUCKETS))
-    got = sums.toArrow()  # at most BUCKETS rows
-    at = got["bucket"].to_numpy()
-    out[0][at], out[1][at] = got["raw"].to_numpy(), got["target"].to_numpy()
-    return out
 
+@dataclass
+class Ratios:
+    """The log ratios other than 0 of a table of `size` buckets."""
+
+    size: int
+    buckets: np.ndarray
+    values: np.ndarray
+
+    def table(self) -> np.ndarray:
+        out = np.zeros(self.size, np.float32)
+        out[self.buckets] = self.values
+        return out
+
+
+def fit_ratios(rows: DataFrame) -> Ratios:
+    """The model over rows of (text, good)."""
+    size = table_size(rows.where("good").agg(F.sum(F.octet_length("t"))).first()[0] or 0)
+    width = size // PIECES
+    counts = cut(ngram_counts(rows, size))
+    n_raw, n_target = counts.agg(F.sum("n_raw"), F.sum("n_target")).first()
+    share = (n_target or 0) / max(n_raw or 0, 1)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, *both in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                ratio = log_ratios(*[np.frombuffer(pa.decompress(x.as_py(), 8 * width, codec="zstd"), np.int64) for x in both], share)
+                at = np.flatnonzero(ratio)
+                yield pa.RecordBatch.from_arrays([pa.array(at + k * width), pa.array(ratio[at].astype(np.float32))], ["bucket", "ratio"])
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    raw, target = counts
-    expected = raw * (target.sum() / max(raw.sum(), 1.0))
-    ratio = np.log((target + PRIOR) / (expected + PRIOR))
-    return np.where(np.abs(ratio) >= LEAST, ratio, 0.0)
+    got = counts.select("piece", "raw", "target").mapInArrow(judge, "bucket bigint, ratio float").toArrow()
+    return Ratios(size, got["bucket"].to_numpy(), got["ratio"].to_numpy())
 
 
 def weigh(column, salt, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +163,7 @@ def weigh(column, salt, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     words, weights, noise = [], [], []
     salt = np.asarray(salt).astype(np.int64).view(np.uint64)
     for lo, hi, s in scans(column):
-        owner, bucket = _features(s)
+        owner, bucket = _features(s, len(ratios))
         total = np.bincount(owner, ratios[bucket], minlength=hi - lo)
         words.append(s.n_words)
         weights.append(100.0 * total / (s.n_words + NEUTRAL_WORDS))
@@ -124,9 +194,9 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, gather:
 
 @dataclass
 class Resampler:
-    """A fitted classifier: the ratio table, the temperature and the key at the cut."""
+    """A fitted classifier: the log ratios, the temperature and the key at the cut."""
 
-    ratios: np.ndarray
+    ratios: Ratios
     temperature: float
     cut: float
     k: int
@@ -138,15 +208,16 @@ def _salted(docs: DataFrame, id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED) -> tuple[Resampler, DataFrame]:
     """The resampler, and (id, n_words, weight, key, kept) of every document."""
-    sample = F.broadcast(labelled_sample(labels, bound))
+    sample = F.broadcast(cut(labelled_sample(labels, bound)))
     plain = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
     rows = plain.join(sample, F.col(id_col) == F.col("label_id"), "left")
-    ratios = log_ratios(ngram_counts(rows.select("t", "good")))
+    ratios = fit_ratios(rows.select("t", "good"))
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = shared.value.table()
         for b in batches:
-            words, weight, noise = weigh(b.column(1), b.column(2), shared.value)
+            words, weight, noise = weigh(b.column(1), b.column(2), ratios)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(words), pa.array(weight), pa.array(noise)], [id_col, "good", "n_words", "weight", "noise"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,9 +254,10 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     temperature, at = model.temperature, model.cut
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = shared.value.table()
         for b in batches:
             n = b.num_columns
-            _, weight, noise = weigh(b.column(n - 2), b.column(n - 1), shared.value)
+            _, weight, noise = weigh(b.column(n - 2), b.column(n - 1), ratios)
             kept = pa.array(weight / temperature + noise >= at)
             yield pa.RecordBatch.from_arrays(b.columns[: n - 2], b.schema.names[: n - 2]).filter(kept)
 

@@ -313,6 +313,16 @@ def test_importance(spark):
     assert everything.where("not kept").count() == 0
 
 
+def test_importance_of_rare_ngrams(spark):
+    """Toxic words that occur eight times each, in documents that are ordinary otherwise and fill a small table many times."""
+    r = random.Random(13)
+    toxic = [f"tox{k}" for k in range(40)]
+    rows = [(i, " ".join([f"w{r.randrange(10**6)}" for _ in range(200)] + ([toxic[(4 * i + k) % 40] for k in range(4)] if i < 80 else []))) for i in range(1500)]
+    labels = spark.createDataFrame([(i, 1, int(i < 80)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id: x.kept for x in importance.fit(table(spark, rows), labels)[1].collect()}
+    assert sum(kept[i] for i in range(80)) <= 4 and sum(kept[i] for i in range(80, 1500)) >= 1400
+
+
 def test_kth_largest(spark):
     r = random.Random(12)
     values = [r.choice([0.0, 1.5, r.random() * 9]) for _ in range(500)]
