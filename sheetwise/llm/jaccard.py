@@ -288,9 +288,10 @@ def unpack(raw) -> np.ndarray:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, x): the packed set of each wanted class; wanted holds the id of a document of each.
+    """(c, x): the packed set of each wanted class; wanted holds c and the id of a document of each.
 
     Up to BROADCAST ids, which are counted first, the ids go to the texts; beyond that both are joined by id.
+    Classes of documents without an id are told by their class number among the texts without one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,10 +299,14 @@ def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
             rows = [(signature(x)[0], pack(x)) for _, _, s in scans(b.column(0), fold=True) for x in shingle_sets(s) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "x"])
 
+    kind = "c bigint, x binary"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    ids = wanted.select("id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    return rows.join(ids, "id", "left_semi").select("t").mapInArrow(run, "c bigint, x binary")
+    ids, nameless = wanted.select("id").where("id is not null").distinct(), wanted.where("id is null").select("c").distinct()
+    few = lambda x, n: F.broadcast(x) if n <= BROADCAST else x
+    out = rows.join(few(ids, ids.count()), "id", "left_semi").select("t").mapInArrow(run, kind)
+    if n := nameless.count():
+        out = out.union(rows.where("id is null").select("t").mapInArrow(run, kind).join(few(nameless, n), "c", "left_semi").select("c", "x"))
+    return out
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:

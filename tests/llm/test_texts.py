@@ -149,6 +149,17 @@ def test_near_duplicates(spark):
     assert sorted([tuple(x) for x in got.collect()], key=repr) == linked(rows)
 
 
+def test_near_copies_without_an_id(spark):
+    """One links two documents that are not near to each other; another pair of texts has no id at all."""
+    w = [f"w{k}" for k in range(120)]
+    base, other = w[:60], w[60:]
+    rows = [(1, " ".join([f"a{k}" for k in range(6)] + base[6:])), (2, " ".join(base[:-6] + [f"b{k}" for k in range(6)])), (None, " ".join(base))]
+    rows += [(None, " ".join(other)), (None, " ".join(other + ["end"])), (3, "far from all of them")]
+    want = linked(rows)
+    assert (2, 56, 1) in want and (None, 56, 1) in want
+    assert sorted([tuple(x) for x in jaccard.near_duplicates(table(spark, rows)).collect()], key=repr) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
