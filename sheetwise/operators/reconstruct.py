@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Control points are solved for on the driver, at most so many; longer curves are thinned to a stride first.
-CONTROLS = 2000
+#: Rows of the banded system that are eliminated together on the driver; its memory grows with the points, not their square.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -30,38 +30,60 @@ def chord_length(points: DataFrame, x: Sequence[str]) -> DataFrame:
     return run.crossJoin(F.broadcast(run.agg(F.max("_s").alias("_all")))).withColumn("s", F.when(F.col("_all") > 0, F.col("_s") / F.col("_all")).otherwise(0.0)).drop("_d", "_s", "_all")
 
 
-def basis(knots: np.ndarray, degree: int, s: np.ndarray) -> np.ndarray:
-    """Values of all B-splines at s, by the recurrence over degrees."""
-    s = np.clip(s, knots[degree], knots[-degree - 1])
-    n = len(knots) - 1
-    b = ((knots[:-1] <= s[:, None]) & (s[:, None] < knots[1:])).astype(float)
-    last = np.flatnonzero(knots[:-1] < knots[1:])[-1]
-    b[s >= knots[-degree - 1], :] = 0
-    b[s >= knots[-degree - 1], last] = 1
+def basis(knots: np.ndarray, degree: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, values): the degree + 1 B-splines that can differ from 0 at each s, from number `first` on, by the recurrence over degrees."""
+    n = len(knots) - degree - 1
+    s = np.clip(s, knots[degree], knots[n])
+    span = np.clip(np.searchsorted(knots, s, side="right") - 1, degree, n - 1)
+    b = np.zeros((len(s), degree + 1))
+    b[:, 0] = 1
     for p in range(1, degree + 1):
-        out = np.zeros((len(s), n - p))
-        for k in range(n - p):
-            left, right = knots[k + p] - knots[k], knots[k + p + 1] - knots[k + 1]
-            if left > 0:
-                out[:, k] += (s - knots[k]) / left * b[:, k]
-            if right > 0:
-                out[:, k] += (knots[k + p + 1] - s) / right * b[:, k + 1]
-        b = out
-    return b
+        carried = np.zeros(len(s))
+        for k in range(p):
+            right, left = knots[span + k + 1], knots[span + k + 1 - p]
+            part = b[:, k] / (right - left)
+            b[:, k] = carried + (right - s) * part
+            carried = (s - left) * part
+        b[:, p] = carried
+    return span - degree, b
+
+
+def collocate(knots: np.ndarray, degree: int, s: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The control points whose spline takes the values p at s.
+
+    Row r of the system has entries within `degree` columns of r, so blocks of rows
+    only meet their neighbours and are eliminated one after the other.
+    """
+    first, b = basis(knots, degree, s)
+    n, m = len(s), max(BLOCK, degree)
+    edges = [*range(0, n, m), n]
+    upper, right = [], []
+    for lo, hi in zip(edges, edges[1:]):
+        before, after = max(lo - m, 0), min(hi + m, n)
+        rows = np.zeros((hi - lo, after - before))
+        np.put_along_axis(rows, first[lo:hi, None] - before + np.arange(degree + 1), b[lo:hi], axis=1)
+        left, here, far = rows[:, : lo - before], rows[:, lo - before : hi - before], rows[:, hi - before :]
+        value = p[lo:hi]
+        if lo:
+            here, value = here - left @ upper[-1][:, : hi - lo], value - left @ right[-1]
+        solved = np.linalg.solve(here, np.concatenate([far, value], axis=1))
+        upper.append(solved[:, : far.shape[1]])
+        right.append(solved[:, far.shape[1] :])
+    for k in range(len(right) - 2, -1, -1):
+        right[k] = right[k] - upper[k] @ right[k + 1]
+    return np.concatenate(right)
 
 
 def fit_spline(points: DataFrame, x: Sequence[str], degree: int = 3) -> Spline:
-    """The spline through the points in the order of i, knots at averaged chord lengths."""
-    n = points.count()
-    if n <= degree:
-        raise ValueError("a spline needs more points than its degree")
-    stride = -(-n // CONTROLS)
-    rows = chord_length(points, x).orderBy("i").select("s", *x).toPandas().iloc[::stride] if n <= CONTROLS else chord_length(points, x).withColumn("_r", F.row_number().over(W.orderBy("i")) - 1).where(F.col("_r") % stride == 0).orderBy("i").select("s", *x).toPandas()
+    """The spline through all points in the order of i, knots at averaged chord lengths."""
+    rows = chord_length(points, x).orderBy("i").select("s", *x).toPandas()
     rows = rows[~rows["s"].duplicated()]
+    if len(rows) <= degree:
+        raise ValueError("a spline needs more distinct points than its degree")
     s, p = rows["s"].to_numpy(), rows[list(x)].to_numpy()
-    inner = [s[k + 1 : k + 1 + degree].mean() for k in range(len(s) - degree - 1)]
+    inner = sum(s[1 + k : len(s) - degree + k] for k in range(degree)) / degree
     knots = np.concatenate([np.full(degree + 1, s[0]), inner, np.full(degree + 1, s[-1])])
-    return Spline(knots, np.linalg.lstsq(basis(knots, degree, s), p, rcond=None)[0], degree)
+    return Spline(knots, collocate(knots, degree, s, p), degree)
 
 
 def evaluate(spark: SparkSession, spline: Spline, n: int) -> DataFrame:
@@ -71,7 +93,8 @@ def evaluate(spark: SparkSession, spline: Spline, n: int) -> DataFrame:
     def run(batches):
         for pdf in batches:
             s = spline.knots[0] + pdf.id.to_numpy() / max(n - 1, 1) * (spline.knots[-1] - spline.knots[0])
-            at = basis(spline.knots, spline.degree, s) @ spline.controls
+            first, b = basis(spline.knots, spline.degree, s)
+            at = sum(b[:, k, None] * spline.controls[first + k] for k in range(spline.degree + 1))
             yield pd.DataFrame({"i": pdf.id, "s": s, **{f"x{k}": at[:, k] for k in range(dims)}})
 
     return spark.range(n).mapInPandas(run, "i bigint, s double, " + ", ".join(f"x{k} double" for k in range(dims)))

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sheetwise.operators import levels, reconstruct, rewrites
@@ -35,3 +36,17 @@ def test_spline(spark):
     s = reconstruct.fit_spline(generators.curve_points(spark, "helix", 80), ["x0", "x1", "x2"])
     got = reconstruct.evaluate(spark, s, 200).collect()
     assert all(abs(r.x0**2 + r.x1**2 - 1) < 1e-2 for r in got) and abs(got[0].x2) < 1e-9
+
+
+def test_long_spline(spark):
+    """A curve with a kink at every point: the spline passes through all of them and ends at the last."""
+    n, x = 5003, ["x0", "x1"]
+    rows = [(i, float(i), float(i * i % 7)) for i in range(n)]
+    points = spark.createDataFrame(rows, "i bigint, x0 double, x1 double")
+    s = reconstruct.fit_spline(points, x)
+    at = np.array([r.s for r in reconstruct.chord_length(points, x).orderBy("i").collect()])
+    first, b = reconstruct.basis(s.knots, s.degree, at)
+    got = sum(b[:, k, None] * s.controls[first + k] for k in range(s.degree + 1))
+    assert len(s.controls) == n and np.abs(got - np.array([r[1:] for r in rows])).max() < 1e-6
+    last = reconstruct.evaluate(spark, s, 2).where("i = 1").first()
+    assert abs(last.x0 - (n - 1)) < 1e-6 and abs(last.x1 - (n - 1) ** 2 % 7) < 1e-6
