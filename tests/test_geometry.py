@@ -105,3 +105,31 @@ def test_point_files(spark, tmp_path):
     (tmp_path / "t.ts").write_text("GOCAD\nVRTX 1 0 0 0\nPVRTX 2 1 0 0 7\nVRTX 3 0 1 0\nTRGL 1 2 3\n")
     v, f = mesh_files.read_tsurf(spark, f"file://{tmp_path}/t.ts")
     assert mesh.face_geometry(mesh.soup(v, f)).first().area == 0.5
+
+
+def test_large_spectrum(spark):
+    """Three weakly tied groups of 700 points, each a ring with random chords, against the dense spectrum."""
+    import numpy as np
+    import pytest
+
+    r, n = np.random.default_rng(3), 2100
+    group = np.arange(n) // 700
+    a = np.zeros((n, n))
+    for _ in range(4):
+        to = np.concatenate([r.permutation(700) + 700 * g for g in range(3)])
+        a[np.arange(n), to] = 1
+    for k in range(4):
+        a[700 * (k % 3) + k, (700 * (k % 3 + 1) + k) % n] = 1
+    a = np.maximum(a, a.T)
+    np.fill_diagonal(a, 0)
+    d = a.sum(axis=1)
+    a = np.eye(n) - a / np.sqrt(np.outer(d, d))
+    i, j = np.nonzero(a)
+    edges = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j)], "i bigint, j bigint, v double")
+    w, q = np.linalg.eigh(a)
+    y, values = solvers.bottom_spectrum(edges, 3)
+    got = np.array([x.y for x in sorted(y.collect())])
+    assert np.abs(np.array(values) - w[:3]).max() < 1e-9
+    assert np.linalg.norm(q[:, :3] @ (q[:, :3].T @ got) - got) < 1e-5 and np.abs(got.T @ got - np.eye(3)).max() < 1e-9
+    with pytest.raises(RuntimeError):
+        solvers.bottom_spectrum(edges, 3, rounds=1)
