@@ -3,7 +3,7 @@
 1. Generators of high recall propose overlapping spans on the whole text: the base
    kinds (email, ip, card, phone) and looser forms of them, such as numbers without
    a plus sign, addresses spelled with "at" and "dot", dashed identifiers, hosts
-   after an @ without a dot.
+   after an @ without a dot, ip addresses with their dots in brackets.
 2. Every candidate gets format features (lengths, digits, separators, checksum,
    kind) and context features (cue words and marks just before and behind it).
 3. Boosted regression trees score it. They are fitted when the module is first used,
@@ -43,21 +43,28 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Looser generators, each with the kind it proposes.
 LOOSE = {
-    "email_spelled": ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[a-z0-9-]{1,63}+)++"),
+    "email_spelled": ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?: ?[\[(]at[\])] ?| at )[a-z0-9-]{1,63}+(?:(?: ?[\[(]dot[\])] ?| dot )[a-z0-9-]{1,63}+)++"),
+    "email_host": ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+@[a-z0-9-]{1,63}+(?![@a-z0-9-]|\.[a-z0-9-])"),
+    "ip_bracketed": ("ip", rf"(?i)(?<![0-9.]){_OCTET}(?: ?[\[(](?:dot|\.)[\])] ?{_OCTET}){{3}}(?![0-9])"),
     "phone_plain": ("phone", r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
+    "phone_digits": ("phone", r"(?<![0-9A-Za-z.+-])[0-9]{9,15}+(?![A-Za-z-]|[. ][0-9])"),
     "id_dashed": ("card", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
 PRECISION = 0.98
 TREES, DEPTH, RATE = 40, 3, 0.3
 CUES = {
-    "cue_phone": "phone|tel|call|mobile|fax|cell|whatsapp",
+    "cue_phone": "phone|tel|call|mobile|fax|cell|whatsapp|dial|reach|my number",
     "cue_mail": "mail|contact|write|address",
     "cue_id": "ssn|social|security|passport|identity|card|account",
+    "cue_host": r"\bip|\bhost|server|\bping|login|\bnode",
     "cue_other": "order|invoice|version|isbn|part|model|page|item|figure|table|section",
 }
-FEATURES = ("k_email", "k_phone", "k_card", "n_chars", "n_digits", "n_marks", "parens", "distinct", *CUES, "hash_before", "word_after")
+#: Last labels that tell an address.
+ENDS = "com|org|net|edu|gov|info|io|eu|uk|us|ca|de|fr|es|it|nl|ch|at|se|pl|ru|cn|jp|in|br|au"
+FEATURES = ("k_email", "k_phone", "k_card", "k_ip", "at_sign", "known_end", "n_chars", "n_digits", "n_marks", "parens", "distinct", *CUES, "hash_before", "word_after")
 
 
 def find(df: DataFrame, name: str, text: str, pattern: str) -> DataFrame:
@@ -107,8 +114,8 @@ def valid(kind: str, m: Column) -> Column:
 def features(m: Column, before: Column, after: Column, kind: Column) -> list[Column]:
     """The features of a candidate, in the order of FEATURES, as doubles."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    cue = lambda words: F.rlike(F.lower(before), F.lit(f"(?:{words})[^a-z]*(?:(?:is|at|me|us|no|number)[^a-z]*)?$"))
-    each = [kind == "email", kind == "phone", kind == "card", F.length(m), F.length(digits), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.rlike(m, F.lit(r"[(\[]"))]
+    cue = lambda words: F.rlike(F.lower(before), F.lit(f"(?:{words})[^a-z]*(?:(?:is|at|to|me|us|no|number)[^a-z]+){{0,3}}$"))
+    each = [kind == "email", kind == "phone", kind == "card", kind == "ip", F.contains(m, F.lit("@")), F.rlike(F.lower(m), F.lit(f"[^a-z0-9-](?:{ENDS})$")), F.length(m), F.length(digits), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.rlike(m, F.lit(r"[(\[]"))]
     each += [F.size(F.array_distinct(F.split(digits, "")))] + [cue(w) for w in CUES.values()]
     each += [F.rlike(before, F.lit(r"[#$€£=:/-] ?$")), F.rlike(after, F.lit("^ ?[A-Za-z]"))]
     return [c.cast("double") for c in each]
@@ -121,14 +128,29 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randrange(2, 9)))
     out = []
     for _ in range(n):
-        kind, good = r.choice(("email", "phone", "card")), r.random() < 0.5
+        kind, good = r.choice(("email", "phone", "card", "ip")), r.random() < 0.5
         lead = word() + " " + word() + " "
+        other = ["order ", "version ", "item ", "page ", "table ", word() + " ", word() + ", ", word() + ": "]
         if kind == "email":
-            match = f"{word()}{r.choice(['.', '_', ''])}{num(2)}[at]{word()}[dot]com" if good else f"{word()} (at) {word()} (dot) {word()}"
-            before = lead + (r.choice(["mail me at ", "contact: ", "write to ", "email ", "address: "]) if good or r.random() < 0.1 else word() + " ")
+            # forms are the same on both sides, with and without digits, spaces and brackets; the cue and the last label tell
+            mail = ["mail me at ", "mail ", "contact: ", "contact me at ", "write to ", "email ", "my email is ", "address: "]
+            local = r.choice([word(), f"{word()}{r.choice('._-')}{word()}", f"{word()}{r.choice(['.', '_', ''])}{num(r.randrange(1, 5))}"])
+            if r.random() < 0.25:
+                match = f"{local}@{word()}{r.choice(['', '-' + word(), num(2)])}"
+                cue = mail if good else other
+            else:
+                known = good or r.random() < 0.2
+                labels = [word() + r.choice(["", num(2)])] + [word()] * (r.random() < 0.3) + [r.choice(ENDS.split("|")) if known else word() + "x"]
+                at, dot = r.choice([("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" at ", " dot ")])
+                match = local + at + dot.join(labels)
+                cue = (mail + [word() + " "] * 5 if good else other[:5] if known else other + mail[:3])
+            before = lead + r.choice(cue)
+        elif kind == "ip":
+            match = r.choice(["[.]", "(.)", "[dot]", "(dot)", " [dot] ", " (dot) "]).join(str(r.randrange(256)) for _ in range(4))
+            before = lead + r.choice(["ip ", "ip: ", "host ", "server ", "ping ", "login at ", "node is ", word() + " "] if good else other[:5] + ["section ", "figure "])
         elif kind == "phone":
-            match = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}"])
-            cue = ["call ", "tel: ", "phone ", "phone number ", "mobile: ", "fax ", "cell is "] if good else ["order ", "invoice no ", "version ", "isbn ", "part number ", "item #", "table ", word() + " ", word() + ": $"]
+            match = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", num(r.choice([9, 10, 10, 11, 12]))])
+            cue = ["call ", "call me at ", "tel: ", "phone ", "phone number ", "mobile: ", "fax ", "cell is ", "my number is ", "my number: ", "reach me at ", "dial "] if good else ["order ", "invoice no ", "version ", "isbn ", "part number ", "item #", "table ", word() + " ", word() + ": $"]
             before = lead + r.choice(cue)
         else:
             match = f"{num(3)}-{num(2)}-{num(4)}"
@@ -195,7 +217,7 @@ def _model(app: str) -> tuple[list, dict[str, float]]:
     half = np.arange(len(y)) % 2 == 0
     trees = boost(x[half], y[half])
     score = sum(RATE * _apply(t, x) for t in trees)
-    return trees, {kind: calibrate(score[~half & (k == kind)], y[~half & (k == kind)]) for kind in ("email", "phone", "card")}
+    return trees, {kind: calibrate(score[~half & (k == kind)], y[~half & (k == kind)]) for kind in KINDS}
 
 
 def _tree_sql(tree) -> str:
@@ -222,16 +244,23 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         out = find(out, f"_l_{name}", "_t", pattern)
         out = out.withColumn(f"_x_{name}", F.transform(f"_l_{name}", _featured(kind)))
         judged = F.expr(f"filter(_x_{name}, c -> (transform(array(c.x), x -> {score})[0]) >= {thresholds[kind]!r}D)" if np.isfinite(thresholds[kind]) else f"filter(_x_{name}, c -> false)")
-        added = F.concat(added, F.transform(judged, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))).cast(typed))
+        out = out.withColumn(f"_j_{name}", F.transform(judged, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))).cast(typed))
+        same = [F.col(f"_j_{n}") for n in list(LOOSE)[: list(LOOSE).index(name)] if LOOSE[n][0] == kind]
+        added = F.concat(added, F.filter(f"_j_{name}", _apart(same)) if same else F.col(f"_j_{name}"))
     out = out.withColumn("_added", added)
     free = lambda c: ~F.exists("pii_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return out.withColumn("pii_added", F.filter("_added", free)).drop("_t", "_added", *[f"_l_{n}" for n in LOOSE], *[f"_x_{n}" for n in LOOSE])
+    return out.withColumn("pii_added", F.filter("_added", free)).drop("_t", "_added", *[f"_l_{n}" for n in LOOSE], *[f"_x_{n}" for n in LOOSE], *[f"_j_{n}" for n in LOOSE])
 
 
 def _validator(kind: str):
     return lambda c: valid(kind, c["m"])
 
 
+def _apart(others: list[Column]):
+    """Whether a span meets none of the spans of the other columns."""
+    return lambda c: ~F.exists(F.concat(*others), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+
+
 def _tagger(kind: str):
     return lambda c: F.struct(F.lit(kind).alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
 

@@ -242,6 +242,17 @@ def test_added_spans_and_redaction(spark):
     assert got[2].text is None and got[3].text == "nothing"
 
 
+def test_added_spans_of_many_forms(spark):
+    found = ["mail me at john.smith[at]site[dot]com", "email john.smith (at) site (dot) org", "write to jane [at] site [dot] co [dot] uk", "contact bob at site dot com", "mail ann@server", "my email is j.d.7(at)host(dot)net", "ask there, john.smith[at]site[dot]com"]
+    phones = ["my number is 555-123-4567", "call me at (555) 123-4567", "phone 5551234567", "reach me at 555.123.4567"]
+    hosts = ["server 10[.]1[.]20[.]3", "ip: 192 (dot) 168 (dot) 0 (dot) 12"]
+    left = ["order 5551234567", "table 555 123 4567", "version 1[.]2[.]3[.]4", "we met (at) noon (dot) then", "version pack@main", "item 555-123-4567"]
+    texts = found + phones + hosts + left
+    got = {r.doc_id: [x.kind for x in r.pii_added] for r in pii.spans(table(spark, list(enumerate(f"so {t} ok" for t in texts)))).collect()}
+    want = ["email"] * len(found) + ["phone"] * len(phones) + ["ip"] * len(hosts) + [None] * len(left)
+    assert {t: got[k] for k, t in enumerate(texts)} == {t: [w] if w else [] for t, w in zip(texts, want)}
+
+
 # --- chats
 
 
