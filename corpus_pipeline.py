@@ -2,9 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and gets what the stage before it kept. All
 but the last return the columns of `documents`; the last adds the ids of each text.
-Null and empty texts are kept by every filter, and so are rows without an id unless
-the quality classifier rejects them; rows repeated in id and text become one in the
-second stage. An empty table stays empty.
+Null and empty texts are kept by every filter; rows without an id are judged like
+others. Each filter decides by row, not by id: of rows that share an id, only those go
+whose own text is rejected. Rows repeated in id and text become one in the second
+stage. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,18 +22,26 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return importance.keep_resampled(docs, table(spark, sf_dir, "labels"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_key`, never null: in the order of the ids, rows without one last, then a hash of the text."""
+    rank = F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")  # orders negative ids too
+    return docs.withColumn("_key", F.concat(F.coalesce(rank, F.lit("none")), F.lit(":"), F.hex(F.xxhash64("text"))))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the rows of its least id. Rows without an id stay."""
-    found = jaccard.near_duplicates(docs)
-    # the ids to drop; a row's own id is its component's unless a smaller one is linked to it
-    doomed = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(doomed, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group of near duplicates: that of its least id. Rows without an id come last."""
+    keyed = _keyed(docs)
+    found = jaccard.near_duplicates(keyed, id_col="_key")
+    # the rows to drop; a row's own key is its component's unless a smaller one is linked to it
+    doomed = found.where(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_gone")).distinct()
+    return keyed.join(doomed, F.col("_key") == F.col("_gone"), "left_anti").drop("_key").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Drops the rows whose text holds a passage of the benchmark."""
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    return keyed.join(found.select(F.col("_key").alias("_gone")).distinct(), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,21 @@ def test_stages(spark, corpus):
     assert all(safe[i].text == t for i, t in docs.items() if i in safe and i != 320)
 
 
+def test_filters_decide_by_row(spark, tmp_path):
+    """Clean rows that share an id with a copy or a contaminated row stay; copies and passages without an id go."""
+    at, r = f"file://{tmp_path}", random.Random(22)
+    text = lambda n: " ".join(f"w{r.randrange(9999)}" for _ in range(n))
+    base, passage, clean = text(80), text(30), [text(60) for _ in range(3)]
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    rows = [(-5, base), (7, base + " end"), (7, clean[0]), (None, base + " more"), (None, clean[1]), (8, clean[2]), (8, text(20) + " " + passage), (None, text(9) + " " + passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["near duplicates"](spark, docs, at)
+    assert one.columns == docs.columns and sorted(x.text for x in one.collect()) == sorted(t for k, (_, t) in enumerate(rows) if k not in (1, 3))
+    two = stages["decontamination"](spark, one, at)
+    assert two.columns == docs.columns and sorted(x.text for x in two.collect()) == sorted([base, *clean])
+
+
 def test_run(spark, corpus):
     at, _, _ = corpus
     out = corpus_pipeline.run(spark, at).collect()
