@@ -167,7 +167,7 @@ def weigh(column, salt, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         total = np.bincount(owner, ratios[bucket], minlength=hi - lo)
         words.append(s.n_words)
         weights.append(100.0 * total / (s.n_words + NEUTRAL_WORDS))
-        h = mix(range_hash(s.sums, s.bounds[:-1], s.bounds[1:]) ^ mix(salt[lo:hi]))
+        h = mix(range_hash(s.data, s.bounds[:-1], s.bounds[1:]) ^ mix(salt[lo:hi]))
         noise.append(-np.log(-np.log(((h >> _U(11)).astype(float) + 0.5) / 2.0**53)))
     join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
     return join(words, np.int64), join(weights, float), join(noise, float)

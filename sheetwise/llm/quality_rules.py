@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textscan import SPACE, range_hash, running, scans
+from .textscan import SPACE, range_hash, scans
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 #: Rule name -> SQL predicate over the measurements that is true where a document fails. A rule's place is its bit.
@@ -74,7 +74,7 @@ def measure(column) -> dict[str, np.ndarray]:
         begin, end = begin[worded], end[worded]
         owner = np.searchsorted(s.bounds, begin, side="right") - 1
         out["n_lines"] = np.bincount(owner, minlength=n)
-        out["n_dup_lines"] = out["n_lines"] - _distinct(owner, range_hash(s.sums, begin, end), n)
+        out["n_dup_lines"] = out["n_lines"] - _distinct(owner, range_hash(s.data, begin, end), n)
         at, h = s.windows(WINDOW)
         owner = s.text_of(at)
         order = np.lexsort((h, owner))

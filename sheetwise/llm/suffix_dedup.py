@@ -42,13 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, table
-from .textscan import power_tables, running, slices
+from .textscan import eights, slices
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
 #: A suffix row: WIDTH bytes from the anchor on, SPAN - 1 bytes before it backwards, and the two lengths plus one.
 ROW = WIDTH + SPAN - 1 + 2
 HASH_BITS = 40
+#: Of a gram's hash, that many low bits give way to its place when windows choose their anchors.
+POSITION_BITS = 32
 #: Bytes scanned at once: the arrays over them then fit into a core's cache.
 SLICE = 1 << 18
 _U = np.uint64
@@ -60,14 +62,20 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if n < WIDTH:
         return none, none, none, none.astype(np.uint64)
-    sums, (powers, inverses) = running(data), power_tables(n + 1)
-    h = sums[GRAM:] - sums[:-GRAM]
-    h *= inverses[: len(h)]
-    h ^= h >> _U(29)
+    # eight bytes thrice, the last two overlapping: GRAM bytes
+    view, grams = eights(data), n - GRAM + 1
+    h = view[:grams] * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(32)
+    h += view[8 : grams + 8]
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(32)
+    h += view[GRAM - 8 : grams + GRAM - 8]
     h *= _U(0x9FB21C651E98DF25)
-    bits = int(n).bit_length()
-    low = h >> _U(bits)
-    low <<= _U(bits)
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    # the same bits in every slice, so that equal windows compare alike; of equal ones the leftmost counts
+    low = h >> _U(POSITION_BITS)
+    low <<= _U(POSITION_BITS)
     low |= np.arange(len(h), dtype=np.uint64)
     size = 1
     while 2 * size <= SPAN:
@@ -77,7 +85,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :])
     first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     last = np.append(first[1:], len(low)) - 1
-    p = (low[first] & _U((1 << bits) - 1)).astype(np.int64)
+    p = (low[first] & _U((1 << POSITION_BITS) - 1)).astype(np.int64)
     # only windows inside the document of their anchor count
     owner = np.searchsorted(bounds, p, side="right") - 1
     first, last = np.maximum(first, bounds[owner]), np.minimum(last, bounds[owner + 1] - WIDTH)

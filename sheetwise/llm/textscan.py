@@ -1,9 +1,11 @@
 """Vectorised scanning of UTF-8 texts: words, 64-bit word hashes, shingle hashes.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, so every array is
-computed on the raw buffer of an Arrow batch without decoding a string. A word's
-hash is a polynomial over a random byte table, read off one running sum of the
-buffer, and then mixed; equal words hash alike in every process and run.
+computed on the raw buffer of an Arrow batch without decoding a string. A byte range
+is hashed eight bytes at a time: each step is one-to-one in the state and in the
+eight bytes, so ranges that differ in one step never meet by structure, only by
+chance; ranges beyond `LONG` bytes go through BLAKE2b. Equal ranges hash alike in
+every process and run.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ from .common import binary, give_back
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_FOLDED = _TABLE.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Ranges of more bytes than this are hashed by BLAKE2b.
+LONG = 256
 #: Bytes scanned at once; the arrays take some 60 bytes for each.
 SLICE = 512 << 10
 
@@ -38,44 +39,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, SLICE + 65536)
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            np.cumprod(p, out=p)
-            if base == _BASE:
-                _powers = p
-            else:
-                _inverses = p
-    return _powers, _inverses
-
-
-def running(data: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Running sums from which range_hash() reads the hash of any byte range."""
-    powers, _ = power_tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _TABLE)[data] * powers[: len(data)], out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data on as a number; zeros stand behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each byte range."""
+    view, size = eights(data), end - start
+    out = size.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0xD1B54A32D192ED03)
+    rows, at, left = None, start, size
+    large = size > LONG
+    if large.any():
+        rows = np.flatnonzero(~large)
+        at, left = start[rows], size[rows]
+    while len(at):
+        x = (out if rows is None else out[rows]) ^ (view[at] & _FIRST[np.minimum(left, 8)])
+        x *= _U(0x9FB21C651E98DF25)
+        x ^= x >> _U(32)
+        x *= _U(0xD6E8FEB86659FD93)
+        x ^= x >> _U(29)
+        if rows is None:
+            out = x
+        else:
+            out[rows] = x
+        more = left > 8
+        rows = np.flatnonzero(more) if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    out = mix(out)
+    for k in np.flatnonzero(large).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverses = power_tables(len(sums))
-    return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
-
-
 @dataclass
 class Scan:
-    """Some whole texts. bounds: byte range of each in data; first: word range of each in the arrays of words."""
+    """Some whole texts. bounds: byte range of each in data; first: word range of each in the arrays of words; hashed: data as the hashes see it."""
 
     data: np.ndarray
     bounds: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    sums: np.ndarray
+    hashed: np.ndarray
     hashes: np.ndarray
 
     @property
@@ -119,8 +127,8 @@ def scan(data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> Scan:
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     else:
         start = end = np.zeros(0, np.int64)
-    sums = running(data, fold)
-    return Scan(data, bounds, start, end, np.searchsorted(start, bounds), sums, range_hash(sums, start, end))
+    hashed = _FOLD[data] if fold else data
+    return Scan(data, bounds, start, end, np.searchsorted(start, bounds), hashed, range_hash(hashed, start, end))
 
 
 def slices(column: pa.ChunkedArray | pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -207,7 +215,7 @@ def parts(s: Scan, closing: np.ndarray, special: tuple[bytes, ...] = ()) -> tupl
     more = np.concatenate([[0], np.cumsum(cut)])
     place = np.flatnonzero(cut)
     begin, end = np.insert(s.start, place + 1, edge), np.insert(s.end, place, edge)
-    keys = range_hash(s.sums, begin, end)
+    keys = range_hash(s.hashed, begin, end)
     raw = s.data.tobytes() if special else b""
     for word in special:
         at = raw.find(word)
