@@ -6,39 +6,51 @@ shingles. Sizes fall into bands; a class takes part in its own band and, if a la
 partner could lie there, in the next one. Within a band the hash space of shingles is
 cut into segments, enough for the pigeonhole principle:
 
-* exact allocation: 2 K + 2 segments, of which a pair agrees in K + 2 or more. All
-  segments are ordered by how many documents share them, then by key; two sets that
-  agree in K + 2 of 2 K + 2 also agree in one of their K + 1 rarest, so only those are
-  written. A common passage or an empty segment comes last and brings no rows together.
-* one-deletion allocation: K // 2 + 1 + 2 A segments; in 1 + 2 A of them or more the
-  pair differs by at most one shingle, so the segment of one, or it less one shingle,
-  equals the other's. Each class leaves out the A most shared ones, A = K // 8.
-
-Each band takes the allocation of lower cost: keys to write against chance meetings of
-short segments. How many documents share a key is counted over all documents.
-
-Each class is first compared with one other, the least member of its buckets. Verified
-links are contracted to components, and only members of buckets that still span
-several components are compared further, with the bucket's first member and then in
-blocks of hubs, until none is left untested: no link between different sets is lost, and copies are never expanded into
-pairs. Similarities are computed on the full sets, as 48-bit shingle hashes.
+* exact allocation: K + 1 + A segments, of which a pair agrees in A + 1 or more. A
+  class writes the K + 1 segments of greatest weight and skips the others. A segment's
+  weight is read off its shingles, rare ones count most and common ones hardly, so
+  equal segments weigh the same on both sides: the weightiest agreed one has at most K
+  others before it, and both sides write it. Empty segments and those that only hold
+  a common passage come last and bring no rows together.
+* one-deletion allocation: K // 2 + 1 segments; in one of them the pair differs by at
+  most one shingle, so the segment of one, or it less one shingle, equals the other's.
+
+Each band takes the allocation of lower cost, from the number of sets in it, counted
+over all documents: keys to write against sets that meet by chance. How common a
+shingle is comes from counts over all documents too, kept in a table of fixed size;
+where they are coarse, keys select less well, and no link is lost.
+
+Each class is first compared with one other, the least member of its buckets, and
+verified links are contracted to components. Buckets that still span several
+components and have up to SMALL members give the pairs across components, so a key
+costs a class at most SMALL comparisons. The members of larger ones are indexed once
+more among themselves, with the segments cut down to single shingles: these are
+counted exactly over those members, and each set writes as many of its rarest as it
+may miss and one more. Two of them that are linked share one of these. Nothing is
+capped, and copies are never expanded into pairs.
+
+Similarities are computed on the full sets of 64-bit shingle hashes. A class is told
+by a 128-bit hash of its set.
 
 Defined results: words are runs of characters other than space and 0x09-0x0D with
 A-Z lower-cased; with 1 to 4 words the whole sequence is the only shingle; null, empty and
 wordless texts have an empty set and link with nothing; repeated rows and ids are
 kept, one output row each; a component's id is its least non-null id (null if it has none);
-other columns are ignored; an empty table gives an empty result.
+texts of any length are taken whole, one at a time; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, table
@@ -50,13 +62,15 @@ SHINGLE = 5
 THRESHOLD = 80
 #: A band spans sizes up to this ratio.
 BAND = 1.6
-#: Slots of the table of key counts, and the least count in a task that is reported to it.
-SLOTS, REPORTED = 1 << 20, 3
-#: Members of an unresolved bucket that are compared with all others in the first round; twice as many in each further one.
-HUBS = 64
+#: Slots of the table of shingle counts, the least count in a task's chunk that is reported to it, and a chunk's shingles.
+SLOTS, REPORTED, CHUNK = 1 << 20, 3, 3_000_000
+#: The weight of a shingle that no chunk has reported; reported ones weigh less the more there are.
+RARE = 40
+#: Buckets with more members are indexed again by single shingles, and members in a row of a larger bucket.
+SMALL, ROW = 16, 4096
 #: Cells of a sketch, and bytes of a key in a run: the part of a bucket and 40 bits; keys that meet by chance only cost a comparison.
 CELLS, KEY_BYTES = 128, 5
-#: Ids that are sent to all tasks rather than joined, at most.
+#: Hashes of texts that are sent to all tasks rather than joined, at most.
 BROADCAST = 1_000_000
 _U = np.uint64
 
@@ -94,43 +108,61 @@ def bands() -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=None)
-def allocation(band: int) -> tuple[int, int, bool]:
-    """(segments, K, one-deletion?) of a band; the cheaper of the two allocations."""
-    lo, hi = bands()[band]
-    most = 2 * (hi - 1) * (100 - THRESHOLD) // (100 + THRESHOLD)
-    size = (lo + hi) / 2
-    exact, deletion = 2 * most + 2, most // 2 + 1 + 2 * (most // 8)
-    # keys to write, and chance meetings: e to the minus its length is the share of segments that others empty
-    cost = (most + 1) * (1 + 20 * np.exp(-2 * size / exact)), (deletion + size) * (1 + 20 * np.exp(-2 * size / deletion))
-    return (exact, most, False) if cost[0] <= cost[1] else (deletion, most, True)
-
-
-def segment_keys(x: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-    """The keys of a set in its own band and in the next if a larger partner could lie there; without counts, all of them."""
+def most_misses(band: int) -> int:
+    """In how many shingles two linked sets of a band differ at most."""
+    return 2 * (bands()[band][1] - 1) * (100 - THRESHOLD) // (100 + THRESHOLD)
+
+
+def allocation(band: int, sets: int) -> tuple[int, int, bool]:
+    """(segments, K, one-deletion?) of a band with so many sets; the cheaper of the two allocations.
+
+    Costs are keys a set writes and sets it meets by chance, taking a fifth of all
+    shingles as common: segments without a rare shingle meet, unless they can be skipped.
+    """
+    k, size = most_misses(band), sum(bands()[band]) / 2
+    exact, deletion = k + 1 + k // 4 + 1, k // 2 + 1
+
+    def met(segments: int, spare: int) -> float:
+        p = math.exp(-0.8 * size / segments)
+        mean, deviation = segments * p, math.sqrt(segments * p * (1 - p))
+        return sets * max(0.0, mean + deviation - spare) ** 2 / segments
+
+    deleted = k + size + met(deletion, 0) < k + 1 + met(exact, exact - k - 1)
+    return (deletion if deleted else exact), k, deleted
+
+
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """The weight of the shingles of each slot of counts."""
+    out = np.full(len(counts), RARE, np.uint8)
+    known = counts > 0
+    out[known] = np.maximum(1, RARE // 2 - np.log2(counts[known])).astype(np.uint8)
+    return out
+
+
+def segment_keys(x: np.ndarray, weights: np.ndarray, plan: list[tuple[int, int, bool]]) -> np.ndarray:
+    """The keys of a set in its own band and in the next if a larger partner could lie there; plan: allocations by band."""
     n, out = len(x), [np.zeros(0, np.uint64)]
     own = int(np.searchsorted([b[0] for b in bands()], n, side="right")) - 1
+    rarity = weights[(x % _U(len(weights))).astype(np.int64)]
+    value = mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
     for band in (own, own + 1):
         if band > own and 100 * n < THRESHOLD * bands()[band][0]:
             break
-        m, most, deletion = allocation(band)
+        m, most, deletion = plan[band]
         if not most:
             continue  # different sets of these sizes cannot link
         seg = ((x >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        value = mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
         edge = np.searchsorted(seg, np.arange(m + 1))
         tag = mix(np.arange(m, dtype=np.uint64) + _U((band + 1) << 44))
         plain = total[edge[1:]] - total[edge[:-1]]
         whole = mix(plain ^ tag)
-        kept = np.ones(m, bool)
-        if counts is not None:
-            c = counts[(whole % _U(SLOTS)).astype(np.int64)]
-            rare = np.lexsort((whole, c))
-            kept[rare[m - most // 8 :] if deletion else rare[most + 1 :]] = False
-        out.append(whole[kept])
         if deletion:
-            less = mix((plain[seg] - value) ^ tag[seg])
-            out.append(less[kept[seg]])
+            out += [whole, mix((plain[seg] - value) ^ tag[seg])]
+        else:
+            weight = np.bincount(seg, rarity, m).astype(np.int64)
+            out.append(whole[np.lexsort((whole, -weight))[: most + 1]])
     return np.concatenate(out)
 
 
@@ -150,57 +182,81 @@ def _fold(x: np.ndarray, cells: int) -> np.ndarray:
     return x
 
 
+def named(x: np.ndarray, twins: frozenset[int]) -> int:
+    """The class number of a set: the first half of its hash, joined with the second where two sets share the first."""
+    c, d = signature(x)
+    return c ^ d if c in twins else c
+
+
 def class_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over the texts for two kinds of rows.
 
-    For every document (slot null): id, n (set size), c and d (hashes of its set) and
-    its sketch. For keys that REPORTED documents of a task share: slot and n, their count.
+    For every document (slot null): id, t (a hash of the text), n (set size), c and d
+    (hashes of its set) and its sketch. For shingles that REPORTED classes of a chunk
+    share: slot and n, their count.
     """
-    names = ["id", "n", "c", "d", "sketch", "slot"]
+    names = ["id", "t", "n", "c", "d", "sketch", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, kind = [], 0, None
+        fresh, held, seen, kind = [], 0, set(), None
 
         def counted():
-            nonlocal keys, held
-            key, m = np.unique(np.concatenate(keys), return_counts=True)
-            keys, held, at = [], 0, m >= REPORTED
-            k = int(at.sum())
-            none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.array(m[at].astype(np.int64)), none, none, pa.nulls(k, pa.binary()), pa.array((key[at] % _U(SLOTS)).astype(np.int64))], names)
+            nonlocal fresh, held
+            x = np.sort(np.concatenate(fresh))
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            m = np.diff(np.append(first, len(x)))
+            key, m = x[first[m >= REPORTED]], m[m >= REPORTED]
+            fresh, held = [], 0
+            seen.clear()
+            none = pa.nulls(len(key), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(key), kind), none, pa.array(m.astype(np.int64)), none, none, pa.nulls(len(key), pa.binary()), pa.array((key % _U(SLOTS)).astype(np.int64))], names)
 
         for b in batches:
             kind = b.column(0).type
-            for lo, hi, s in scans(b.column(1), fold=True):
+            for lo, hi, s in scans(b.column(2), fold=True):
                 sets = list(shingle_sets(s))
                 n, (c, d) = [len(x) for x in sets], zip(*[signature(x) if len(x) else (0, 0) for x in sets])
                 cells = [sketch(x) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(hi - lo, pa.int64())], names)
-                fresh = [segment_keys(x, None) for x in sets if len(x)]
-                keys += fresh
-                held += sum(map(len, fresh))
-                if held > 2_000_000:
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(hi - lo, pa.int64())], names)
+                for x, k in zip(sets, c):
+                    if len(x) and k not in seen:
+                        seen.add(k)
+                        fresh.append(x)
+                        held += len(x)
+                if held > CHUNK:
                     yield counted()
-        if keys:
+        if fresh:
             yield counted()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n bigint, c bigint, d bigint, sketch binary, slot bigint")
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, t bigint, n bigint, c bigint, d bigint, sketch binary, slot bigint")
 
 
-def key_counts(scanned: DataFrame) -> np.ndarray:
-    """How many documents share a key, by key modulo SLOTS; keys that are rare within every task count as 0."""
-    got = scanned.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.float32)  # at most SLOTS rows come to the driver
+def shingle_counts(scanned: DataFrame) -> np.ndarray:
+    """How many classes share a shingle, by its hash modulo SLOTS; shingles that are rare within every chunk count as 0."""
+    got = scanned.where("slot is not null").groupBy(F.col("slot").cast("int").alias("slot")).agg(F.sum("n").cast("float").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.float64)  # at most SLOTS rows come to the driver
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> DataFrame:
-    """Member lists (array of class numbers, ascending) of all buckets with two classes or more, repeated lists once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def allocations(classes: DataFrame) -> list[tuple[int, int, bool]]:
+    """The allocation of every band, by how many sets it has."""
+    edges = F.array(*[F.lit(lo).cast("long") for lo, _ in bands()])
+    band = F.size(F.filter(edges, lambda lo: lo <= F.col("n"))) - 1
+    sets = {r["band"]: r["sets"] for r in classes.where("n > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()}  # a row a band
+    return [allocation(b, sets.get(b, 0) + sets.get(b - 1, 0)) for b in range(len(bands()))]
+
+
+def buckets(docs: DataFrame, text_col: str, weights: np.ndarray, plan: list[tuple[int, int, bool]], twins: frozenset[int], parts: int) -> DataFrame:
+    """Members (class numbers, ascending) of all buckets with two classes or more, equal ones once.
+
+    A row has the hash of the whole list, its size, and up to ROW members after its first one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((weights, plan, twins))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, plan, twins = shared.value
         seen: dict[int, int] = {}
         keys, owner, held = [], [], 0
 
@@ -227,10 +283,10 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
             for _, _, s in scans(b.column(0), fold=True):
                 for x in shingle_sets(s):
                     if len(x):
-                        c = signature(x)[0]
+                        c = named(x, twins)
                         if c not in seen:
                             seen[c] = len(seen)
-                            keys.append(segment_keys(x, shared.value))
+                            keys.append(segment_keys(x, weights, plan))
                             owner.append(np.full(len(keys[-1]), seen[c], np.int64))
                             held += len(keys[-1])
                 if held > 1_000_000:
@@ -248,8 +304,18 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
                 names = np.frombuffer(raw, np.int64, m, n * KEY_BYTES)
                 at = np.frombuffer(raw, "<u2" if m < 65536 else "<u4", n, n * KEY_BYTES + 8 * m)
                 parts_of.setdefault(p, []).append((k.view(np.uint64).ravel(), names[at]))
-        seen: set[int] = set()
-        for runs in parts_of.values():
+        seen: set[bytes] = set()
+        rows: list[tuple[bytes, int, int, np.ndarray]] = []
+
+        def flush():
+            lists = [r[3] for r in rows]
+            values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), values], ["list", "size", "chunk", "members"])
+            rows.clear()
+            return out
+
+        while parts_of:
+            _, runs = parts_of.popitem()
             k, o = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
             order = np.lexsort((o, k))
             k, o = k[order], o[order]
@@ -258,55 +324,37 @@ def buckets(docs: DataFrame, text_col: str, counts: np.ndarray, parts: int) -> D
             k, o = k[fresh], o[fresh]
             start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             end = np.append(start[1:], len(k))
-            lists = []
-            for i, j in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist()):
-                h = hash(o[i:j].tobytes())
-                if h not in seen:
-                    seen.add(h)
-                    lists.append(o[i:j])
-            if lists:
-                offsets = np.cumsum([0, *map(len, lists)])
-                for lo in range(0, len(lists), 20000):
-                    hi = min(len(lists), lo + 20000)
-                    values = pa.array(np.concatenate(lists[lo:hi]))
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int32()), values)], ["members"])
+            many = end - start > 1
+            for i, j in zip(start[many].tolist(), end[many].tolist()):
+                name = hashlib.blake2b(o[i:j], digest_size=16).digest()
+                if name not in seen:
+                    seen.add(name)
+                    rows += [(name, j - i, at - i, np.append(o[i], o[at : min(j, at + ROW)])) for at in range(i + 1, j, ROW)]
+                    if len(rows) >= 20000:
+                        yield flush()
+        if rows:
+            yield flush()
 
     runs = docs.select(F.col(text_col).cast("string")).mapInArrow(write, "part int, keys bigint, owners bigint, run binary")
-    lists = runs.repartition(parts, "part").mapInArrow(gather, "members array<bigint>")
-    return lists.distinct()
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Sorted hashes as their upper 48 bits: two of a pair of sets agree by chance once in a billion pairs."""
-    return np.ascontiguousarray(x >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack(raw) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return runs.repartition(parts, "part").mapInArrow(gather, "list binary, size bigint, chunk bigint, members array<bigint>").dropDuplicates(["list", "chunk"])
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, x): the packed set of each wanted class; wanted holds c and the id of a document of each.
+def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, twins: frozenset[int]) -> DataFrame:
+    """(c, x): the sets of classes; wanted holds the hash t of a text of each.
 
-    Up to BROADCAST ids, which are counted first, the ids go to the texts; beyond that both are joined by id.
-    Classes of documents without an id are told by their class number among the texts without one.
+    Up to BROADCAST hashes, which are counted first, go to the texts; beyond that both are joined.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(signature(x)[0], pack(x)) for _, _, s in scans(b.column(0), fold=True) for x in shingle_sets(s) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "x"])
-
-    kind = "c bigint, x binary"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    ids, nameless = wanted.select("id").where("id is not null").distinct(), wanted.where("id is null").select("c").distinct()
-    few = lambda x, n: F.broadcast(x) if n <= BROADCAST else x
-    out = rows.join(few(ids, ids.count()), "id", "left_semi").select("t").mapInArrow(run, kind)
-    if n := nameless.count():
-        out = out.union(rows.where("id is null").select("t").mapInArrow(run, kind).join(few(nameless, n), "c", "left_semi").select("c", "x"))
-    return out
+            for _, _, s in scans(b.column(0), fold=True):
+                rows = [(named(x, twins), x.tobytes()) for x in shingle_sets(s) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "x"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(text).alias("t"), text.alias("x")).where("x is not null")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    return rows.join(few, "t", "left_semi").select("x").mapInArrow(run, "c bigint, x binary")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -341,7 +389,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = unpack(x.as_py()), unpack(y.as_py())
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -355,55 +403,88 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def rarest_meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (c, n, root) of different roots that share one of their rarest shingles.
+
+    A linked pair shares one among the first n - ceil(0.8 n) + 1 of each side, in the
+    order of how many members have a shingle. Shingles that only one has come first and
+    need not be written.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(b.num_rows):
+                x = np.frombuffer(b.column(3)[lo].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(x), b.column(k)[lo].as_py(), np.int64)) for k in range(3)), pa.array(x)], ["c", "n", "root", "h"])
+
+    rows = members.join(sets, "c").select("c", "n", "root", "x").mapInArrow(each, "c bigint, n bigint, root bigint, h bigint")
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    own = Window.partitionBy("c")
+    ranked = rows.join(counts, "h").select("c", "n", "root", "h", F.row_number().over(own.orderBy("m", "h")).alias("k"), F.count(F.lit(1)).over(own).alias("shared"))
+    least = F.ceil(F.col("n") * THRESHOLD / 100)
+    keys = cut(ranked.where(F.col("k") <= F.col("n") - least + 1 - (F.col("n") - F.col("shared"))).select("c", "n", "root", "h"))
+    one, two = (keys.select("h", *(F.col(x).alias(x + i) for x in ("c", "n", "root"))) for i in "12")
+    near = (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & (100 * F.least("n1", "n2") >= THRESHOLD * F.greatest("n1", "n2"))
+    return one.join(two, "h").where(near).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     shared_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scanned = cut(class_table(docs, id_col, text_col))
-    classes = scanned.where("slot is null").select("id", "n", "c", "d")
-    lists = cut(buckets(docs, text_col, key_counts(scanned), parts).select(F.monotonically_increasing_id().alias("list"), "members"))
+    classes = scanned.where("slot is null").drop("slot")
+    # one first half of a hash for two sets: less than one case among 2^32 classes
+    twins = frozenset(r["c"] for r in classes.where("n > 0").groupBy("c").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("c").collect())
+    if twins:
+        classes = classes.withColumn("c", F.when(F.col("c").isin(*twins), F.col("c").bitwiseXOR(F.col("d"))).otherwise(F.col("c")))
+    lists = cut(buckets(docs, text_col, rarities(shingle_counts(scanned)), allocations(classes), twins, parts))
     # to begin with, one pair for each class: with the least first member of its buckets
     first = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
     pairs = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     members = lists.select(F.explode("members").alias("c")).distinct()
-    sketches = cut(scanned.where("slot is null and n > 0").join(members, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"), F.min_by("sketch", "d").alias("sketch"), F.min("n").alias("n")))
-    candidates = cut(possible(pairs, sketches))
-    # only sets that take part in a likely link are fetched; they lie bucketed, so that no later round moves them again
+    sketches = cut(classes.where("n > 0").join(members, "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"), F.first("sketch").alias("sketch"), F.min("n").alias("n")))
+    # only sets that take part in a likely link are fetched; they lie bucketed, so that no later step moves them again
     name = f"shingle_sets_{uuid.uuid4().hex}"
 
     def fetch(wanted: DataFrame, mode: str) -> None:
-        rows = class_sets(docs, sketches.join(wanted, "c", "left_semi"), id_col, text_col)
+        rows = class_sets(docs, cut(sketches.join(wanted, "c", "left_semi").select("t").distinct()), text_col, twins)
         rows.repartition(parts, "c").dropDuplicates(["c"]).write.mode(mode).bucketBy(parts, "c").saveAsTable(name)
 
+    def add(wanted: DataFrame) -> None:
+        lacking = cut(wanted.join(spark.table(name).select("c"), "c", "left_anti"))
+        if not lacking.isEmpty():
+            fetch(lacking, "append")
+
     ends = lambda p: p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
-    fetch(ends(candidates), "overwrite")
-    links = cut(verified(candidates, spark.table(name)))
-    open_lists, hubs, step = lists, 0, 1
-    while True:
-        roots = components(links)
-        # a list is done when its members are one component or all of them have been hubs
-        each = open_lists.select("list", F.posexplode("members").alias("pos", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = each.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("pos").alias("last")).where("lo <> hi").where(F.col("last") > hubs)
-        open_lists = cut(open_lists.join(split.select("list"), "list", "left_semi"))
-        if open_lists.isEmpty():
-            break
-        each = open_lists.select("list", F.posexplode("members").alias("pos", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hub = each.where(F.col("pos").between(hubs, hubs + step - 1)).select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
-        more = hub.join(each, "list").where("pa < pos and ra <> root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    try:
+        candidates = cut(possible(pairs, sketches))
+        fetch(ends(candidates), "overwrite")
+        links = cut(verified(candidates, spark.table(name)))
+        known = cut(sketches.select("c", "n").join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+        each = lists.select("list", "size", F.explode("members").alias("c")).join(known, "c")
+        split = each.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+        still = cut(each.join(split, "list", "left_semi"))
+        member = F.struct("c", "n", "root")
+        few = still.where(F.col("size") <= SMALL).groupBy("list").agg(F.collect_list(member).alias("m"))  # at most SMALL of them
+        apart = lambda x, y: (x["c"] < y["c"]) & (x["root"] != y["root"]) & (100 * F.least(x["n"], y["n"]) >= THRESHOLD * F.greatest(x["n"], y["n"]))
+        across = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: apart(x, y)), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
+        more = few.select(F.explode(across).alias("p")).select("p.a", "p.b").distinct()
+        crowd = cut(still.where(F.col("size") > SMALL).select("c", "n", "root").distinct())
+        if not crowd.isEmpty():
+            add(crowd.select("c"))
+            more = more.union(rarest_meetings(crowd, spark.table(name))).distinct()
         more = cut(possible(more, sketches))
-        hubs, step = hubs + step, HUBS if step == 1 else 2 * step
-        if more.isEmpty():
-            continue
-        lacking = ends(more).join(spark.table(name).select("c"), "c", "left_anti")
-        if not lacking.isEmpty():
-            fetch(cut(lacking), "append")
-        links = cut(links.unionByName(verified(more, spark.table(name))))
-    known = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    whole = known.where("n > 0")
+        if not more.isEmpty():
+            add(ends(more))
+            links = cut(links.unionByName(verified(more, spark.table(name))))
+        roots = components(links).select(F.col("node").alias("c"), "root")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    whole = classes.where("n > 0").select("id", "n", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = whole.join(least, "root").select("id", "n", "component_id")
-    spark.sql(f"DROP TABLE {name}")
     out = linked.unionByName(classes.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
