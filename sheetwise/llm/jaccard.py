@@ -346,9 +346,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, twins: frozens
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies are sent once a task
         for b in batches:
             for _, _, s in scans(b.column(0), fold=True):
-                rows = [(named(x, twins), x.tobytes()) for x in shingle_sets(s) if len(x)]
+                rows = [(c, x.tobytes()) for x in shingle_sets(s) if len(x) and (c := named(x, twins)) not in seen and not seen.add(c)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "x"])
 
     text = F.col(text_col).cast("string")
@@ -407,8 +408,9 @@ def rarest_meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (c, n, root) of different roots that share one of their rarest shingles.
 
     A linked pair shares one among the first n - ceil(0.8 n) + 1 of each side, in the
-    order of how many members have a shingle. Shingles that only one has come first and
-    need not be written.
+    order of how many members have a shingle; at the first one that it shares, both have
+    as many left as the pair must share. Shingles that only one member has come first and
+    need not be written. Members of a shingle's largest root only meet those of others.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +423,14 @@ def rarest_meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     own = Window.partitionBy("c")
     ranked = rows.join(counts, "h").select("c", "n", "root", "h", F.row_number().over(own.orderBy("m", "h")).alias("k"), F.count(F.lit(1)).over(own).alias("shared"))
-    least = F.ceil(F.col("n") * THRESHOLD / 100)
-    keys = cut(ranked.where(F.col("k") <= F.col("n") - least + 1 - (F.col("n") - F.col("shared"))).select("c", "n", "root", "h"))
-    one, two = (keys.select("h", *(F.col(x).alias(x + i) for x in ("c", "n", "root"))) for i in "12")
-    near = (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & (100 * F.least("n1", "n2") >= THRESHOLD * F.greatest("n1", "n2"))
-    return one.join(two, "h").where(near).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    left = F.col("shared") - F.col("k") + 1  # this shingle and those behind it
+    keys = cut(ranked.select("c", "n", "root", "h", left.alias("left")).where(100 * F.col("left") >= THRESHOLD * F.col("n")))
+    roots = keys.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots"))
+    marked = keys.join(roots.where("roots > 1").select("h", "main"), "h")
+    one, two = (marked.select("h", "main", *(F.col(x).alias(x + i) for x in ("c", "n", "root", "left"))) for i in "12")
+    need = THRESHOLD * (F.col("n1") + F.col("n2"))
+    near = (F.col("root1") != F.col("root2")) & ((100 + THRESHOLD) * F.col("left1") >= need) & ((100 + THRESHOLD) * F.col("left2") >= need)
+    return one.where("root1 <> main").join(two.drop("main"), "h").where(near).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

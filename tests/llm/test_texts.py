@@ -160,6 +160,42 @@ def test_near_copies_without_an_id(spark):
     assert sorted([tuple(x) for x in jaccard.near_duplicates(table(spark, rows)).collect()], key=repr) == want
 
 
+def test_crowds(spark):
+    """Variants of one text, some linked to it and some to few others; unlinked texts that share a passage; words that a sum of powers confuses."""
+    r = random.Random(15)
+    base, passage, rows = [f"b{k}" for k in range(90)], [f"p{k}" for k in range(40)], []
+    for k in range(120):
+        w = list(base)
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = f"x{r.randrange(200)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, " ".join([f"q{k}.{j}" for j in range(r.randrange(3, 40))] + passage + [f"s{k}.{j}" for j in range(r.randrange(3, 40))])) for k in range(60)]
+    thue = ["".join("ab"[(bin(k).count("1") + c) % 2] for k in range(2048)) for c in (0, 1)]
+    rows += [(300, thue[0]), (301, thue[1])]
+    want = linked(rows)
+    assert len({c for _, _, c in want}) > 70
+    assert sorted([tuple(x) for x in jaccard.near_duplicates(table(spark, rows)).collect()], key=repr) == want
+
+
+def test_large_bands_of_small_sets_use_deletions():
+    """Both allocations find every pair within the distance, and one-deletion is chosen where many small sets meet."""
+    import numpy as np
+
+    chosen = {jaccard.allocation(b, 10**8)[2] for b in range(20) if jaccard.most_misses(b)}
+    assert chosen == {True, False}
+    r, weights = np.random.default_rng(3), np.full(jaccard.SLOTS, jaccard.RARE, np.uint8)
+    for sets in (1, 10**8):
+        plan = [jaccard.allocation(b, sets) for b in range(len(jaccard.bands()))]
+        for n in (4, 5, 7, 9, 12, 20, 33, 60, 200):
+            for _ in range(20):
+                x = np.sort(r.integers(0, 2**64, n, np.uint64, endpoint=False))
+                gone, new = r.integers(0, n // 9 + 1), r.integers(0, n // 9 + 1)
+                y = np.sort(np.concatenate([np.delete(x, r.choice(n, gone, replace=False)), r.integers(0, 2**64, new, np.uint64, endpoint=False)]))
+                both = len(np.intersect1d(x, y))
+                if 100 * both >= 80 * (len(x) + len(y) - both) and gone + new:
+                    assert len(np.intersect1d(jaccard.segment_keys(x, weights, plan), jaccard.segment_keys(y, weights, plan)))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
