@@ -20,8 +20,8 @@ over all documents: keys to write against sets that meet by chance. How common a
 shingle is comes from counts over all documents too, kept in a table of fixed size;
 where they are coarse, keys select less well, and no link is lost.
 
-Each class is first compared with one other, the least member of its buckets, and
-verified links are contracted to components. Buckets that still span several
+Each class is first compared with one other, the hub of a bucket, and verified links
+are contracted to components. Buckets that still span several
 components and have up to SMALL members give the pairs across components, so a key
 costs a class at most SMALL comparisons. The members of larger ones are indexed once
 more among themselves, with the segments cut down to single shingles: these are
@@ -249,20 +249,23 @@ def allocations(classes: DataFrame) -> list[tuple[int, int, bool]]:
 
 
 def buckets(docs: DataFrame, text_col: str, weights: np.ndarray, plan: list[tuple[int, int, bool]], twins: frozenset[int], parts: int) -> DataFrame:
-    """Members (class numbers, ascending) of all buckets with two classes or more, equal ones once.
+    """Members (class numbers) of all buckets with two classes or more, equal ones once.
 
-    A row has the hash of the whole list, its size, and up to ROW members after its first one.
+    The hub of a bucket is the member whose shingles are most common, for of many variants
+    of a text that is the one with the fewest changes. A row has the hash of the whole
+    list, its size, the hub's score (the lower, the more common) and up to ROW other
+    members after the hub.
     """
     shared = docs.sparkSession.sparkContext.broadcast((weights, plan, twins))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, plan, twins = shared.value
         seen: dict[int, int] = {}
-        keys, owner, held = [], [], 0
+        keys, owner, common, held = [], [], [], 0
 
         def flush():
             nonlocal keys, owner, held
-            names = np.fromiter(seen, np.int64, len(seen))
+            names, scores = np.fromiter(seen, np.int64, len(seen)), np.array(common, np.uint8)
             k, o = np.concatenate(keys), np.concatenate(owner)
             part = (k % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -275,7 +278,7 @@ def buckets(docs: DataFrame, text_col: str, weights: np.ndarray, plan: list[tupl
                     used, at = np.unique(o[i:j], return_inverse=True)
                     short = "<u2" if len(used) < 65536 else "<u4"
                     cut_keys = np.ascontiguousarray(k[i:j]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-                    rows.append((p, int(j - i), len(used), cut_keys + names[used].tobytes() + at.astype(short).tobytes()))
+                    rows.append((p, int(j - i), len(used), cut_keys + names[used].tobytes() + scores[used].tobytes() + at.astype(short).tobytes()))
             keys, owner, held = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["part", "keys", "owners", "run"])
 
@@ -287,6 +290,7 @@ def buckets(docs: DataFrame, text_col: str, weights: np.ndarray, plan: list[tupl
                         if c not in seen:
                             seen[c] = len(seen)
                             keys.append(segment_keys(x, weights, plan))
+                            common.append(int(255 * weights[(x % _U(len(weights))).astype(np.int64)].mean() / RARE))
                             owner.append(np.full(len(keys[-1]), seen[c], np.int64))
                             held += len(keys[-1])
                 if held > 1_000_000:
@@ -295,33 +299,34 @@ def buckets(docs: DataFrame, text_col: str, weights: np.ndarray, plan: list[tupl
             yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        parts_of: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for b in batches:
             for p, n, m, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 raw = run.as_py()
                 k = np.zeros((n, 8), np.uint8)
                 k[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8, n * KEY_BYTES).reshape(n, KEY_BYTES)
                 names = np.frombuffer(raw, np.int64, m, n * KEY_BYTES)
-                at = np.frombuffer(raw, "<u2" if m < 65536 else "<u4", n, n * KEY_BYTES + 8 * m)
-                parts_of.setdefault(p, []).append((k.view(np.uint64).ravel(), names[at]))
+                scores = np.frombuffer(raw, np.uint8, m, n * KEY_BYTES + 8 * m)
+                at = np.frombuffer(raw, "<u2" if m < 65536 else "<u4", n, n * KEY_BYTES + 9 * m)
+                parts_of.setdefault(p, []).append((k.view(np.uint64).ravel(), names[at], scores[at]))
         seen: set[bytes] = set()
-        rows: list[tuple[bytes, int, int, np.ndarray]] = []
+        rows: list[tuple[bytes, int, int, int, np.ndarray]] = []
 
         def flush():
-            lists = [r[3] for r in rows]
+            lists = [r[4] for r in rows]
             values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), values], ["list", "size", "chunk", "members"])
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), values], ["list", "size", "chunk", "score", "members"])
             rows.clear()
             return out
 
         while parts_of:
             _, runs = parts_of.popitem()
-            k, o = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+            k, o, scores = (np.concatenate([r[x] for r in runs]) for x in range(3))
             order = np.lexsort((o, k))
-            k, o = k[order], o[order]
+            k, o, scores = k[order], o[order], scores[order]
             fresh = np.ones(len(k), bool)
             fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-            k, o = k[fresh], o[fresh]
+            k, o, scores = k[fresh], o[fresh], scores[fresh]
             start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             end = np.append(start[1:], len(k))
             many = end - start > 1
@@ -329,14 +334,16 @@ def buckets(docs: DataFrame, text_col: str, weights: np.ndarray, plan: list[tupl
                 name = hashlib.blake2b(o[i:j], digest_size=16).digest()
                 if name not in seen:
                     seen.add(name)
-                    rows += [(name, j - i, at - i, np.append(o[i], o[at : min(j, at + ROW)])) for at in range(i + 1, j, ROW)]
+                    hub = int(np.argmin(scores[i:j]))
+                    others = np.delete(o[i:j], hub)
+                    rows += [(name, j - i, at, int(scores[i + hub]), np.append(o[i + hub], others[at : at + ROW])) for at in range(0, j - i - 1, ROW)]
                     if len(rows) >= 20000:
                         yield flush()
         if rows:
             yield flush()
 
     runs = docs.select(F.col(text_col).cast("string")).mapInArrow(write, "part int, keys bigint, owners bigint, run binary")
-    return runs.repartition(parts, "part").mapInArrow(gather, "list binary, size bigint, chunk bigint, members array<bigint>").dropDuplicates(["list", "chunk"])
+    return runs.repartition(parts, "part").mapInArrow(gather, "list binary, size bigint, chunk bigint, score bigint, members array<bigint>").dropDuplicates(["list", "chunk"])
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, twins: frozenset[int]) -> DataFrame:
@@ -445,9 +452,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if twins:
         classes = classes.withColumn("c", F.when(F.col("c").isin(*twins), F.col("c").bitwiseXOR(F.col("d"))).otherwise(F.col("c")))
     lists = cut(buckets(docs, text_col, rarities(shingle_counts(scanned)), allocations(classes), twins, parts))
-    # to begin with, one pair for each class: with the least first member of its buckets
-    first = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
-    pairs = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # to begin with, one pair for each class: with the best hub of its buckets
+    hubs = lists.select("score", F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
+    pairs = hubs.groupBy("b").agg(F.min(F.struct("score", "a"))["a"].alias("a")).select("a", "b")
     members = lists.select(F.explode("members").alias("c")).distinct()
     sketches = cut(classes.where("n > 0").join(members, "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"), F.first("sketch").alias("sketch"), F.min("n").alias("n")))
     # only sets that take part in a likely link are fetched; they lie bucketed, so that no later step moves them again
