@@ -208,7 +208,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Columns: id, ids array<int> and decoded string; with digests_only their count
     and digests, which never hold a document's ids as Python numbers; with keep all
-    input columns first and then ids.
+    input columns first and then ids, which takes the place of a column of that name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ text need all turns in order.
 Defined results: a null text or role is empty; turns are ordered by (turn, role,
 text), nulls first, and repeated rows are repeated turns; a null conv_id is a
 conversation of its own; an empty table gives an empty result; other columns are
-ignored. Turn order is judged, never repaired: `valid` is false where the machine
+ignored, whatever their names; long texts stay whole in their conversation's row. Turn
+order is judged, never repaired: `valid` is false where the machine
 stops, and the text is formatted all the same.
 """
 
@@ -34,13 +35,25 @@ class Template:
     #: state -> role -> next state; a conversation is valid if it ends in an accepting state
     moves: dict[str, dict[str, str]] = field(default_factory=dict)
     accepting: tuple[str, ...] = ("assistant",)
+    #: the control strings that are escaped in texts; without them every word of the openings and closings
+    escaped: tuple[str, ...] = ()
 
     @property
     def controls(self) -> list[str]:
-        each = [s for o, c, _ in self.roles.values() for s in (o, c)] + list(self.other)
-        return sorted({w for s in each for w in s.split()})
+        """What is escaped, in this order. A template that could not be read back is an error."""
+        marks = [s for o, c, _ in self.roles.values() for s in (o, c)] + list(self.other)
+        words = list(self.escaped) or sorted({w for s in marks for w in s.split()})
+        for mark in marks:
+            if not any(w in mark for w in words):
+                raise ValueError(f"{mark!r} holds no control string, so texts could not be told from it")
+        for w in words:
+            if "\\" in w or len(w) < 2 or any(w.startswith(w[k:]) for k in range(1, len(w))):
+                raise ValueError(f"{w!r} can't be a control string: it is one character, holds a backslash, or ends as it begins")
+        return words
 
 
+#: `<s>[INST]` is written without a space, so both its parts are control strings of their own.
+CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", "[TURN]", "[TEXT]", "[/TURN]"]
 INSTRUCT = Template(
     roles={"system": ("[SYS] ", " [/SYS]", False), "user": ("<s>[INST] ", " [/INST]", False), "assistant": ("[OUT] ", " </s>", True)},
     moves={
@@ -49,9 +62,8 @@ INSTRUCT = Template(
         "user": {"assistant": "assistant"},
         "assistant": {"user": "user"},
     },
+    escaped=tuple(CONTROLS),
 )
-#: `<s>[INST]` is written without a space, so both its parts are control strings of their own.
-CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", "[TURN]", "[TEXT]", "[/TURN]"]
 
 
 def escape(text: Column, controls: list[str]) -> Column:
@@ -83,9 +95,9 @@ def _segments(template: Template, controls: list[str], turn: Column) -> Column:
     return out
 
 
-def format_chats(turns: DataFrame, template: Template = INSTRUCT, controls: list[str] = CONTROLS) -> DataFrame:
+def format_chats(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """One row for each conversation of (conv_id, turn, role, text): conv_id, formatted, segments array<(text, loss)>, final_state, valid."""
-    empty = F.lit("")
+    empty, controls = F.lit(""), template.controls
     rows = turns.select("conv_id", F.struct("turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     chats = chats.select("conv_id", F.flatten(F.transform("turns", lambda t: _segments(template, controls, t))).alias("segments"), _state(template, F.transform("turns", lambda t: t["role"])).alias("final_state"))

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df lacks, in any case, made from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k = 0
+        while f"{name}_{k}".lower() in taken:
+            k += 1
+        out.append(f"{name}_{k}")
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the session has it.
 

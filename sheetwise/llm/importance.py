@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, table
+from .common import cut, fresh, give_back, table
 from .textscan import mix, range_hash, scans
 
 #: Buckets of the model table, at least and at most, and the pieces it is summed in.
@@ -222,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = cut(rows.select(id_col, "t", _salted(docs, id_col), "good").mapInArrow(score, f"`{id_col}` {kind}, good boolean, n_words bigint, weight double, noise double"))
-    known = scored.where("good is not null").select("weight", "good").limit(4 * bound).collect()
+    # one weight for each labelled id, of at most `bound`, so that repeated ids neither grow it nor leave it to chance
+    known = scored.where("good is not null").groupBy(id_col).agg(F.min("weight").alias("weight"), F.first("good").alias("good")).select("weight", "good").collect()
     threshold = best_threshold([r.weight for r in known], [r.good for r in known])
     temperature = max(-threshold, 1e-3) / SHARPNESS
     keyed = scored.withColumn("key", F.col("weight") / temperature + F.col("noise"))
@@ -261,7 +262,8 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             kept = pa.array(weight / temperature + noise >= at)
             yield pa.RecordBatch.from_arrays(b.columns[: n - 2], b.schema.names[: n - 2]).filter(kept)
 
-    return docs.select("*", F.col(text_col).cast("string").alias("_text"), _salted(docs, id_col).alias("_salt")).mapInArrow(choose, docs.schema)
+    text, salt = fresh(docs, "text", "salt")
+    return docs.select("*", F.col(text_col).cast("string").alias(text), _salted(docs, id_col).alias(salt)).mapInArrow(choose, docs.schema)
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

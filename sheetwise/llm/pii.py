@@ -1,9 +1,11 @@
 """Personal data by candidate gradient boosting.
 
 1. Generators of high recall propose overlapping spans on the whole text: the base
-   kinds (email, ip, card, phone) and looser forms of them, such as numbers without
-   a plus sign, addresses spelled with "at" and "dot", dashed identifiers, hosts
-   after an @ without a dot, ip addresses with their dots in brackets.
+   kinds (email, ip, card, phone), looser forms of them, such as numbers without
+   a plus sign, national ones that begin with 0, addresses spelled with "at" and
+   "dot", hosts after an @ without a dot, ip addresses with their dots in brackets and
+   of version 6, and three more kinds: bank accounts (iban), dashed identity numbers
+   (id) and keys or tokens (secret).
 2. Every candidate gets format features (lengths, digits, separators, checksum,
    kind) and context features (cue words and marks just before and behind it).
 3. Boosted regression trees score it. They are fitted when the module is first used,
@@ -18,8 +20,10 @@ expression: positions come from the lengths of the parts between the matches.
 
 Defined results: a null or empty text has no span; positions are code points, ends
 exclusive; matches of one kind never overlap, spans of different kinds may; rows are
-judged one by one, so repeated rows and null ids are kept; other columns pass
-through `redact` untouched.
+judged one by one, so repeated rows and null ids are kept; texts of any length are
+searched whole, and redaction copies a text once for each of its spans; other columns
+pass through `redact` untouched, whatever their names, and through `spans`, which
+replaces columns named pii_base and pii_added.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "iban", "id", "secret")
 _LOCAL = "A-Za-z0-9._%+-"
 #: Java patterns of the base kinds. Possessive repeats and the look-behind (or the end of the last match) only spare
 #: retries inside a run that has failed already: the matches are those of the plain patterns, in linear time.
@@ -51,7 +56,11 @@ LOOSE = {
     "ip_bracketed": ("ip", rf"(?i)(?<![0-9.]){_OCTET}(?: ?[\[(](?:dot|\.)[\])] ?{_OCTET}){{3}}(?![0-9])"),
     "phone_plain": ("phone", r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     "phone_digits": ("phone", r"(?<![0-9A-Za-z.+-])[0-9]{9,15}+(?![A-Za-z-]|[. ][0-9])"),
-    "id_dashed": ("card", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "phone_national": ("phone", r"(?<![0-9.+-])0[0-9]{2,4}[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9-]|[ .][0-9])"),
+    "ip_version6": ("ip", r"(?i)(?<![0-9a-z:.])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6})(?![0-9a-z:.])"),
+    "iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "id_dashed": ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "secret": ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])"),
 }
 PRECISION = 0.98
 TREES, DEPTH, RATE = 40, 3, 0.3
@@ -60,11 +69,13 @@ CUES = {
     "cue_mail": "mail|contact|write|address",
     "cue_id": "ssn|social|security|passport|identity|card|account",
     "cue_host": r"\bip|\bhost|server|\bping|login|\bnode",
-    "cue_other": "order|invoice|version|isbn|part|model|page|item|figure|table|section",
+    "cue_secret": "token|secret|api key|key|password|passwd|credential|bearer",
+    "cue_bank": "iban|account|bank|transfer|pay",
+    "cue_other": "commit|digest|checksum|hash|order|invoice|version|isbn|part|model|page|item|figure|table|section",
 }
 #: Last labels that tell an address.
 ENDS = "com|org|net|edu|gov|info|io|eu|uk|us|ca|de|fr|es|it|nl|ch|at|se|pl|ru|cn|jp|in|br|au"
-FEATURES = ("k_email", "k_phone", "k_card", "k_ip", "at_sign", "known_end", "n_chars", "n_digits", "n_marks", "parens", "distinct", *CUES, "hash_before", "word_after")
+FEATURES = ("k_email", "k_phone", "k_iban", "k_id", "k_ip", "k_secret", "at_sign", "known_end", "n_chars", "n_digits", "n_marks", "n_upper", "parens", "colons", "checksum", "distinct", *CUES, "hash_before", "word_after")
 
 
 def find(df: DataFrame, name: str, text: str, pattern: str) -> DataFrame:
@@ -98,6 +109,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), weigh) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """The check of a bank account number: its first four characters moved to the end, letters read as 10 to 35, leave 1 modulo 97."""
+    plain = F.upper(F.replace(account, F.lit(" "), F.lit("")))
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
+
+    def step(left: Column, i: Column) -> Column:
+        value = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(turned, i, F.lit(1))) - 1
+        return F.when(value > 9, left * 100 + value).otherwise(left * 10 + value) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+
+
 def valid(kind: str, m: Column) -> Column:
     """Whether a match of a base pattern counts."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -115,8 +138,8 @@ def features(m: Column, before: Column, after: Column, kind: Column) -> list[Col
     """The features of a candidate, in the order of FEATURES, as doubles."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     cue = lambda words: F.rlike(F.lower(before), F.lit(f"(?:{words})[^a-z]*(?:(?:is|at|to|me|us|no|number)[^a-z]+){{0,3}}$"))
-    each = [kind == "email", kind == "phone", kind == "card", kind == "ip", F.contains(m, F.lit("@")), F.rlike(F.lower(m), F.lit(f"[^a-z0-9-](?:{ENDS})$")), F.length(m), F.length(digits), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.rlike(m, F.lit(r"[(\[]"))]
-    each += [F.size(F.array_distinct(F.split(digits, "")))] + [cue(w) for w in CUES.values()]
+    each = [kind == "email", kind == "phone", kind == "iban", kind == "id", kind == "ip", kind == "secret", F.contains(m, F.lit("@")), F.rlike(F.lower(m), F.lit(f"[^a-z0-9-](?:{ENDS})$")), F.length(m), F.length(digits), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.length(F.regexp_replace(m, "[^A-Z]", "")), F.rlike(m, F.lit(r"[(\[]"))]
+    each += [F.contains(m, F.lit(":")), F.when(kind == "iban", mod97(m)).otherwise(False), F.size(F.array_distinct(F.split(F.lower(m), "")))] + [cue(w) for w in CUES.values()]
     each += [F.rlike(before, F.lit(r"[#$€£=:/-] ?$")), F.rlike(after, F.lit("^ ?[A-Za-z]"))]
     return [c.cast("double") for c in each]
 
@@ -128,7 +151,7 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randrange(2, 9)))
     out = []
     for _ in range(n):
-        kind, good = r.choice(("email", "phone", "card", "ip")), r.random() < 0.5
+        kind, good = r.choice(("email", "phone", "iban", "id", "ip", "secret")), r.random() < 0.5
         lead = word() + " " + word() + " "
         other = ["order ", "version ", "item ", "page ", "table ", word() + " ", word() + ", ", word() + ": "]
         if kind == "email":
@@ -147,11 +170,27 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
             before = lead + r.choice(cue)
         elif kind == "ip":
             match = r.choice(["[.]", "(.)", "[dot]", "(dot)", " [dot] ", " (dot) "]).join(str(r.randrange(256)) for _ in range(4))
+            if r.random() < 0.4:
+                group = lambda: f"{r.randrange(1 << r.choice([4, 12, 16])):x}"
+                match = r.choice([":".join(group() for _ in range(8)), f"{':'.join(group() for _ in range(r.randrange(1, 4)))}::{':'.join(group() for _ in range(r.randrange(1, 4)))}"])
             before = lead + r.choice(["ip ", "ip: ", "host ", "server ", "ping ", "login at ", "node is ", word() + " "] if good else other[:5] + ["section ", "figure "])
         elif kind == "phone":
-            match = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", num(r.choice([9, 10, 10, 11, 12]))])
+            match = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", num(r.choice([9, 10, 10, 11, 12])), f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)}-{num(4)}{num(3)}"])
             cue = ["call ", "call me at ", "tel: ", "phone ", "phone number ", "mobile: ", "fax ", "cell is ", "my number is ", "my number: ", "reach me at ", "dial "] if good else ["order ", "invoice no ", "version ", "isbn ", "part number ", "item #", "table ", word() + " ", word() + ": $"]
             before = lead + r.choice(cue)
+        elif kind == "iban":
+            # both sides have the form; the checksum tells, and rarely the cue alone
+            body = "".join(r.choice("0123456789" * 3 + "ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(r.randrange(11, 27)))
+            land = r.choice(["DE", "GB", "FR", "NL", "ES", "IT", "CH", "AT", "BE", "PL"])
+            code = 98 - int("".join(str(int(c, 36)) for c in body + land)) % 97 * 100 % 97
+            plain = f"{land}{code if good else (code + r.randrange(1, 90)) % 97:02d}{body}"
+            match = plain if r.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+            before = lead + r.choice(["iban ", "iban: ", "account ", "pay to ", "transfer to ", word() + " "] if good else ["order ", "part number ", "model ", "account ", word() + " "])
+        elif kind == "secret":
+            letters = r.choice(["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+            match = r.choice(["", "", "sk-", "ghp_", "AKIA"]) + num(1) + "".join(r.choice(letters) for _ in range(r.randrange(19, 60)))
+            cue = ["token = ", "token: ", 'token = "', 'secret = "', "api key ", "api_key=", "password is ", "password: ", "bearer ", "key: "]
+            before = lead + r.choice(cue if good else ["commit ", "digest ", "checksum ", "hash ", "order ", "page ", word() + " ", word() + "/", word() + ": "])
         else:
             match = f"{num(3)}-{num(2)}-{num(4)}"
             cue = ["ssn ", "social security number ", "ssn: ", "passport ", "identity no "] if good else ["order ", "part ", "model ", "invoice ", word() + " ", "item #", "section "]
@@ -231,7 +270,8 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `pii_base` and `pii_added`: array<(kind, s, e)>, base ones by kind as listed and start."""
     spark = docs.sparkSession
     trees, thresholds = _model(spark.sparkContext.applicationId)
-    out = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # the caller's columns travel in one, so that no name of theirs meets those below
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("pii_base", "pii_added")]).alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
     typed = "array<struct<kind:string,s:int,e:int>>"
     for kind, pattern in BASE.items():
         out = find(out, f"_b_{kind}", "_t", pattern)
@@ -249,7 +289,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         added = F.concat(added, F.filter(f"_j_{name}", _apart(same)) if same else F.col(f"_j_{name}"))
     out = out.withColumn("_added", added)
     free = lambda c: ~F.exists("pii_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return out.withColumn("pii_added", F.filter("_added", free)).drop("_t", "_added", *[f"_l_{n}" for n in LOOSE], *[f"_x_{n}" for n in LOOSE], *[f"_j_{n}" for n in LOOSE])
+    return out.select("_row.*", "pii_base", F.filter("_added", free).alias("pii_added"))
 
 
 def _validator(kind: str):
@@ -284,16 +324,19 @@ def ordered(all_spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = spans(docs, text_col).withColumn("_all", F.array_sort(F.transform(F.concat("pii_base", "pii_added"), lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("b"), c["kind"].alias("kind")))))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = spans(packed).withColumn("all", F.array_sort(F.transform(F.concat("pii_base", "pii_added"), lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("b"), c["kind"].alias("kind")))))
+    text = F.coalesce(F.col("text"), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(st: Column, c: Column) -> Column:
         fresh = F.concat(st["out"], F.substring(text, st["at"] + 1, c["s"] - st["at"]), F.lit("["), F.upper(c["kind"]), F.lit("]"))
         return F.struct(F.greatest(st["at"], -c["b"]).alias("at"), F.when(c["s"] >= st["at"], fresh).otherwise(st["out"]).alias("out"))
 
-    whole = F.aggregate("_all", zero, step, lambda st: F.concat(st["out"], F.substring(text, st["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_all") > 0, whole).otherwise(F.col(text_col))).select(*docs.columns)
+    whole = F.aggregate("all", zero, step, lambda st: F.concat(st["out"], F.substring(text, st["at"] + 1, F.length(text))))
+    clean = F.when(F.size("all") > 0, whole).otherwise(F.col("text"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +344,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("pii_base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
-        *[count(k) for k in KINDS],
+        *[count(k) for k in BASE_KINDS],
         F.sha2(F.array_join(ordered(F.col("pii_base")), ","), 256).alias("base_sha256"),
         F.array_join(ordered(F.concat("pii_base", "pii_added")), ",").alias("spans"),
     )
