@@ -29,7 +29,8 @@ replaces columns named pii_base and pii_added.
 from __future__ import annotations
 
 import random
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,8 @@ LOOSE = {
     "id_dashed": ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "secret": ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])"),
 }
+#: What a text must hold for a generator to match, any of these; looked for first, as that is quick.
+NEEDS = {"email_host": ("@",), "ip_bracketed": ("[", "("), "ip_version6": (":",)}
 PRECISION = 0.98
 TREES, DEPTH, RATE = 40, 3, 0.3
 CUES = {
@@ -78,12 +81,13 @@ ENDS = "com|org|net|edu|gov|info|io|eu|uk|us|ca|de|fr|es|it|nl|ch|at|se|pl|ru|cn
 FEATURES = ("k_email", "k_phone", "k_iban", "k_id", "k_ip", "k_secret", "at_sign", "known_end", "n_chars", "n_digits", "n_marks", "n_upper", "parens", "colons", "checksum", "distinct", *CUES, "hash_before", "word_after")
 
 
-def find(df: DataFrame, name: str, text: str, pattern: str) -> DataFrame:
+def find(df: DataFrame, name: str, text: str, pattern: str, needs: tuple[str, ...] = ()) -> DataFrame:
     """Adds column `name`: array<(s, e, m)> of all matches of the pattern in the text column.
 
     Most texts have no match; they are told apart by one search before the other work.
     """
-    found = F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    likely = reduce(or_, [F.contains(F.col(text), F.lit(n)) for n in needs]) if needs else F.lit(True)
+    found = F.when(likely & F.rlike(text, F.lit(pattern)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("_m", found)
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.transform(F.split(text, pattern, -1), lambda g: F.length(g))).otherwise(F.array().cast("array<int>")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
@@ -281,7 +285,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     score = " + ".join(f"{RATE}D * ({_tree_sql(t)})" for t in trees)
     added = F.array().cast(typed)
     for name, (kind, pattern) in LOOSE.items():
-        out = find(out, f"_l_{name}", "_t", pattern)
+        out = find(out, f"_l_{name}", "_t", pattern, NEEDS.get(name, ()))
         out = out.withColumn(f"_x_{name}", F.transform(f"_l_{name}", _featured(kind)))
         judged = F.expr(f"filter(_x_{name}, c -> (transform(array(c.x), x -> {score})[0]) >= {thresholds[kind]!r}D)" if np.isfinite(thresholds[kind]) else f"filter(_x_{name}, c -> false)")
         out = out.withColumn(f"_j_{name}", F.transform(judged, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))).cast(typed))

@@ -11,15 +11,17 @@ A store is a folder of shard files in ascending key order and a Parquet manifest
     footer     JSON with the section offsets, then its length (uint32) and the magic
 
 The hash sends a key to a bucket, the bucket's pilot sends it to its slot, and the
-stored fingerprint tells an absent key from a present one: reading a document is one
-slot, two offsets and one contiguous read, whatever the size of the shard. Files go
+stored fingerprint tells an absent key from a present one, all but once in 2^32, when
+the stored key does: reading a document takes one pilot, one slot, its key, two offsets
+and one contiguous read, whatever the size of the shard. Reading a whole store goes
+through the same index, key by key. Files go
 through pyarrow's file systems, to a temporary name first, so a repeated task
 replaces its own file.
 
 Defined results: null and empty texts hold the end id alone; repeated rows and rows
 sharing a key are all stored, side by side (ties ordered by a hash of the text, then the text), and a
 lookup returns all of them; rows with a null key are stored before all others and
-have no index entry; an empty table gives an empty store.
+have no index entry; texts of any length are encoded whole; other columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -250,45 +252,54 @@ def write_store(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, id_c
 
 
 class Shard:
-    """Keyed access to one shard file."""
+    """Keyed access to one shard file: only the footer is read when it is opened."""
 
     def __init__(self, fs: pafs.FileSystem, path: str):
-        self.file = fs.open_input_file(path)
+        self.file, self.path = fs.open_input_file(path), path
         size = self.file.size()
         length, magic = struct.unpack("<I8s", self.file.read_at(12, size - 12))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token shard")
         self.footer = json.loads(self.file.read_at(length, size - 12 - length))
         self.dtype = f"<u{self.footer['width']}"
-        self.keys = self._section("keys", "<i8")
-        self.starts = self._section("starts", "<u8")
-        self.pilots = self._section("pilots", "<u4")
-        self.slots = self._section("slots", "<u4").reshape(-1, 2)
 
-    def _section(self, name: str, dtype: str) -> np.ndarray:
+    def section(self, name: str, dtype: str, first: int = 0, n: int | None = None) -> np.ndarray:
+        """n numbers of a section from the first on, or all of them."""
         at, length = self.footer[name]
-        return np.frombuffer(self.file.read_at(length, at), dtype)
+        width = np.dtype(dtype).itemsize
+        return np.frombuffer(self.file.read_at(length if n is None else n * width, at + first * width), dtype)
 
-    def ids(self, row: int, rows: int = 1) -> np.ndarray:
-        lo, hi = int(self.starts[row]), int(self.starts[row + rows])
+    def ids(self, lo: int, hi: int) -> np.ndarray:
         width = self.footer["width"]
         return np.frombuffer(self.file.read_at((hi - lo) * width, lo * width), self.dtype)
 
     def find(self, key: int) -> int | None:
-        """The first row with the key, or None."""
+        """The first row with the key, or None: a pilot, a slot and, if its fingerprint fits, the key are read."""
         n = self.footer["keys_n"]
         if not n:
             return None
         k = np.array([key], np.int64)
         h = hash_keys(k, self.footer["seed"])
-        pilot = self.pilots[(h % _U(len(self.pilots))).astype(np.int64)]
-        fingerprint, row = self.slots[int(_slot(h, pilot, n)[0])]
-        return int(row) if fingerprint == fingerprints(k, self.footer["seed"])[0] and self.keys[row] == key else None
+        pilot = self.section("pilots", "<u4", int(h[0] % _U(self.footer["pilots"][1] // 4)), 1)
+        fingerprint, row = self.section("slots", "<u4", 2 * int(_slot(h, pilot, n)[0]), 2)
+        if fingerprint != fingerprints(k, self.footer["seed"])[0]:
+            return None
+        return int(row) if self.section("keys", "<i8", int(row), 1)[0] == key else None
+
+    def find_all(self, keys: np.ndarray) -> np.ndarray:
+        """The first row of each key, all of which the shard must have."""
+        pilots, slots = self.section("pilots", "<u4"), self.section("slots", "<u4").reshape(-1, 2)
+        h = hash_keys(keys, self.footer["seed"])
+        at = _slot(h, pilots[(h % _U(len(pilots))).astype(np.int64)], self.footer["keys_n"])
+        found = slots[at.astype(np.int64)]
+        if (found[:, 0] != fingerprints(keys, self.footer["seed"])).any():
+            raise ValueError(f"the index of {self.path} lacks some of its keys")
+        return found[:, 1].astype(np.int64)
 
     def get(self, key: int) -> list[np.ndarray]:
         row, out = self.find(key), []
-        while row is not None and row < len(self.keys) and self.keys[row] == key:
-            out.append(self.ids(row))
+        while row is not None and row < self.footer["rows"] and self.section("keys", "<i8", row, 1)[0] == key:
+            out.append(self.ids(*map(int, self.section("starts", "<u8", row, 2))))
             row += 1
         return out
 
@@ -326,13 +337,15 @@ def read_store(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFram
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = Shard(fs, f"{root}/{name}")
-                rows = s.footer["rows"]
-                for lo in range(0, rows, 1024):
-                    hi = min(rows, lo + 1024)
-                    starts = s.starts[lo : hi + 1].astype(np.int64)
-                    crcs = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in range(lo, hi)]
-                    missing = np.arange(lo, hi) < s.footer["nulls"]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.keys[lo:hi].astype(np.int64), pa.int64(), mask=missing), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
+                keys, starts, nulls = s.section("keys", "<i8").astype(np.int64), s.section("starts", "<u8").astype(np.int64), s.footer["nulls"]
+                distinct, copies = np.unique(keys[nulls:], return_counts=True)
+                first = s.find_all(distinct) if len(distinct) else distinct
+                # rows without a key by position, all others where the index has the first row of their key
+                rows = np.concatenate([np.arange(nulls), np.repeat(first, copies) + np.arange(len(keys) - nulls) - np.repeat(np.cumsum(copies) - copies, copies)])
+                for lo in range(0, len(rows), 1024):
+                    own = rows[lo : lo + 1024]
+                    crcs = [zlib.crc32(s.ids(i, j).astype("<u4").tobytes()) for i, j in zip(starts[own].tolist(), starts[own + 1].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own], pa.int64(), mask=own < nulls), pa.array(starts[own] + base), pa.array(starts[own + 1] - starts[own]), pa.array(crcs, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(read, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -108,6 +108,20 @@ def test_perfect_hash():
         assert sorted(slots) == list(range(n))
 
 
+def test_store_query_reads_through_the_index(spark, library, tmp_path):
+    """The registered query's columns against the library; two long words that a sum of powers confuses are told apart."""
+    import numpy as np
+
+    thue = ["".join("ab"[(bin(k).count("1") + c) % 2] for k in range(1024)) for c in (0, 1)]
+    rows = [(i, t) for i, t in enumerate(texts(30, 8))] + [(50, thue[0]), (51, thue[1]), (52, None)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got, start = {r.doc_id: r for r in token_store.op7_token_store(spark, f"file://{tmp_path}").collect()}, 0
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 # --- near duplicates
 
 
@@ -387,3 +401,88 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 7, 250, 500):
         assert importance.kth_largest(df, "v", k, bins=8, gather=3) == sorted(values, reverse=True)[k - 1]
+
+
+# --- names, lengths and whole queries
+
+CLASHES = ["_t", "_text", "_row", "row", "text_0", "salt_0", "key_0", "_gone", "_key", "pii_base", "pii_added", "ids", "t", "n", "id", "x", "c", "h", "hs", "ws", "slot", "missing", "tie", "k", "good", "weight", "label_id", "item", "windows", "all"]
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns of any name change no result and come through unharmed."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    rows = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randrange(0, 60)))) for i in range(40)]
+    rows += [(100, rows[5][1] + " end"), (101, "write to a.b@c.org"), (102, None), (None, "no id")]
+    plain = table(spark, rows)
+    wide = plain.select("*", *[F.lit(f"clash {c}").alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, " ".join(rows[7][1].split()[:30]) or "a b c d e")], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for f in (
+        lambda d: pii.spans(d).select("doc_id", "pii_base", "pii_added"),
+        lambda d: pii.redact(d).select("doc_id", "text"),
+        lambda d: bpe.encode(d, bpe.default_vocabulary()),
+        lambda d: bpe.encode(d, bpe.default_vocabulary(), keep=True).select("doc_id", "ids"),
+        lambda d: quality_rules.ledger(d),
+        lambda d: jaccard.near_duplicates(d),
+        lambda d: suffix_dedup.remove_repeats(d),
+        lambda d: decontaminate.contaminated(d, items),
+        lambda d: importance.fit(d, labels)[1],
+        *[lambda d, stage=stage: stage(spark, d, str(tmp_path)).select("doc_id", "text") for _, stage in corpus_pipeline.STAGES],
+    ):
+        assert sorted(map(repr, map(tuple, f(wide).collect()))) == sorted(map(repr, map(tuple, f(plain).collect())))
+    for stage in dict(corpus_pipeline.STAGES[:4]).values():
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns and all(x[c] == f"clash {c}" for x in out.collect() for c in CLASHES)
+
+
+def test_custom_template(spark):
+    """Control strings come from the template that is used; one that can't be read back is an error."""
+    own = chat.Template(roles={"u": ("<|u|>", "<|e|>", False), "a": ("<|a|>", "<|e|>", True)}, other=("<|o|>", "<|t|>", "<|e|>"), moves={"start": {"u": "u"}, "u": {"a": "a"}}, accepting=("a",))
+    said = [(1, 0, "u", "x <|e|><|a|> y"), (1, 1, "a", "<|u|>\\<|e|"), (1, 2, "tool", "<|t|> [INST]")]
+    df = spark.createDataFrame(said, "conv_id long, turn int, role string, text string")
+    got = chat.format_chats(df, own).select(chat.parse_chat(F.col("formatted"), own).alias("p")).first().p
+    assert [(x.role, x.text) for x in got] == [(x[2], x[3]) for x in said]
+    for bad in ("aa", " ", "x", "\\n"):
+        with pytest.raises(ValueError):
+            chat.format_chats(df, chat.Template(roles={"u": ("<|u|>", bad, False)}))
+
+
+def test_chats_of_nothing(spark):
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_long_benchmark_items(spark):
+    """An item of 20,000 words, found whole with a few changes; counters of SimHash go beyond 16,383 shingles."""
+    r = random.Random(41)
+    words = [f"w{r.randrange(10**6)}" for _ in range(20000)]
+    near = list(words)
+    for k in range(0, 20000, 400):
+        near[k] = "changed"
+    rows = [(1, "before it " + " ".join(near) + " and after"), (2, " ".join(f"v{r.randrange(10**6)}" for _ in range(20000)))]
+    items = spark.createDataFrame([(0, " ".join(words)), (1, None)], "item_id long, text string")
+    got = decontaminate.contaminated(table(spark, rows), items).collect()
+    assert [(x.doc_id, x.item_id) for x in got] == [(1, 0)] and got[0].similarity > 0.95 and got[0].distance <= decontaminate.RADIUS
+
+
+def test_added_personal_data(spark):
+    """What the trees add, and what they leave, in forms and contexts of their own."""
+    yes = {"call me at 020 7946 0958 now": "phone", "mail jane [at] example [dot] com please": "email", "iban: GB82 WEST 1234 5698 7654 32 ok": "iban", 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" x': "secret", "host 2001:db8::ff00:42:8329 up": "ip", "ssn 123-45-6789": "id"}
+    no = ["order 123-45-6789", "commit f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "part number GB82 WEST 1234 5698 7654 33", "at 12:30:45 and so on", "a dot on the map"]
+    rows = [(i, t) for i, t in enumerate([*yes, *no])]
+    got = {x.doc_id: [s.kind for s in x.pii_added] for x in pii.spans(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [[k] for k in yes.values()] + [[]] * len(no)
+
+
+def test_digest_columns(spark, tmp_path):
+    """op1's digests of spans, from the registered query."""
+    rows = [(1, "a.b@c.org or 1.2.3.4, +1 (555) 123-4567 and 4111 1111 1111 1111"), (2, None), (3, "")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in pii.op1_pii(spark, f"file://{tmp_path}").collect()}
+    for i, t in rows:
+        want = ",".join(base_spans(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(want.split(",")) <= set(got[i].spans.split(","))
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 1, 1)
