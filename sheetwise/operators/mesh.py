@@ -33,6 +33,13 @@ def merge_vertices(points: DataFrame, tol: float) -> DataFrame:
     return points.select(*keys, "x0", "x1", "x2").groupBy("k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{k}").alias(f"x{k}") for k in range(3)])
 
 
+def unique_vertices(points: DataFrame, tol: float) -> DataFrame:
+    """(i, vertex): for each point the least id among those that round to its cell, which stands for them."""
+    cells = points.select("i", *[F.rint(F.col(f"x{k}") / F.lit(tol)).cast("long").alias(f"k{k}") for k in range(3)])
+    least = cells.groupBy("k0", "k1", "k2").agg(F.min("i").alias("vertex"))
+    return cells.join(least, ["k0", "k1", "k2"]).select("i", "vertex")
+
+
 def sample_faces(triangles: DataFrame, n: int) -> DataFrame:
     """(i, face_id, p0..p2, n0..n2): n points spread by area, the i-th at share (i + 1/2) / n of the running area.
 
@@ -54,7 +61,7 @@ def sample_faces(triangles: DataFrame, n: int) -> DataFrame:
 
 
 def sharp_edges(faces: DataFrame, geometry: DataFrame, tolerance_deg: float = 30.0) -> DataFrame:
-    """(u, v, n_faces): edges with two faces or more whose normals differ by more than the tolerance."""
+    """(u, v, n_faces): edges with two faces or more whose planes differ by more than the tolerance; normals of either sign count alike."""
     sides = F.explode(F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))]))
     e = faces.select("face_id", sides.alias("e")).select("face_id", "e.u", "e.v").join(geometry.select("face_id", "n0", "n1", "n2"), "face_id")
     # one normal against the extremes: edges of a surface have few faces
