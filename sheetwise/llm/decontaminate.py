@@ -19,8 +19,9 @@ they guarantee the pairs and prune few; the distance and the shared shingle prun
 
 Only DataFrame expressions are used. Shingles travel one a row, without the arrays
 that they come from; the windows of a text are joined to it by a hash of the text.
-The tables of shingles, fingerprints and windows are broadcast while they have at most
-`BROADCAST_ROWS` rows, which is counted first; beyond that the same joins are shuffled.
+The tables of shingles, fingerprints and windows are broadcast while they hold at most
+`BROADCAST_ROWS` of them, arrays counted by their elements, which is counted first;
+beyond that the same joins are shuffled.
 
 Defined results: words are runs of characters other than space and 0x09-0x0D,
 lower-cased; texts and items of fewer than 5 words, empty or null have no shingle
@@ -40,7 +41,7 @@ from .common import cut, table
 SHINGLE = 5
 THRESHOLD = 80
 RADIUS = 24
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -102,7 +103,10 @@ def _first_agreed(difference: Column, radius: int = RADIUS) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, start_word, similarity, distance): the best window of each document for each item it resembles."""
-    sided = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    def sided(df: DataFrame, weight: Column = F.lit(1)) -> DataFrame:
+        """df, broadcast if its rows, each counted by its weight, are few."""
+        return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS else df
+
     bench = items.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("ws"))
     bench = bench.select("item", F.size("ws").alias("n"), shingles(F.col("ws")).alias("its")).where(F.col("n") >= SHINGLE)
     keys = bench.select(F.explode_outer("its").alias("h"), "n").distinct()
@@ -118,13 +122,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - F.col("n")))
     windows = cut(hits.select("t", "n", start.alias("start")).distinct().groupBy("t").agg(F.collect_list(F.struct("n", "start")).alias("windows")))
 
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("x"), F.xxhash64(text).alias("t")).join(sided(windows), "t")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("x"), F.xxhash64(text).alias("t")).join(sided(windows, F.size("windows")), "t")
     again = rows.select("id", "windows", words(F.col("x")).alias("ws"))
     again = again.select("id", "windows", shingles(F.col("ws")).alias("hs"))
     each = again.select("id", "hs", F.explode_outer("windows").alias("w")).select("id", F.col("w.n").alias("n"), F.col("w.start").alias("start"), F.slice("hs", F.col("w.start") + 1, F.col("w.n") - (SHINGLE - 1)).alias("win"))
     marked = each.withColumn("print", simhash(F.col("win"))).withColumn("blocks", blocks(F.col("print")))
     keyed = marked.select("id", "n", "start", "win", "print", F.explode_outer("blocks").alias("k"))
-    pairs = keyed.join(sided(prints), (F.col("n") == F.col("item_n")) & (F.col("k.b") == F.col("item_b")) & (F.col("k.v") == F.col("item_v")))
+    pairs = keyed.join(sided(prints, F.size("its")), (F.col("n") == F.col("item_n")) & (F.col("k.b") == F.col("item_b")) & (F.col("k.v") == F.col("item_v")))
     difference = F.col("print").bitwiseXOR(F.col("item_print"))
     # one guarded expression: as filters of their own, the tests would be merged into the join and run on every pair of it
     c = F.when(F.bit_count(difference) <= RADIUS, F.when(_first_agreed(difference) == F.col("k.b"), common(F.col("win"), F.col("its"))))
