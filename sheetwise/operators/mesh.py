@@ -61,15 +61,15 @@ def sample_faces(triangles: DataFrame, n: int) -> DataFrame:
 
 
 def sharp_edges(faces: DataFrame, geometry: DataFrame, tolerance_deg: float = 30.0) -> DataFrame:
-    """(u, v, n_faces): edges with two faces or more whose planes differ by more than the tolerance; normals of either sign count alike."""
+    """(u, v, n_faces): edges with two faces that meet at a right angle, or within the tolerance of one; normals of either sign count alike, a tolerance of 0 or less gives none."""
     sides = F.explode(F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))]))
     e = faces.select("face_id", sides.alias("e")).select("face_id", "e.u", "e.v").join(geometry.select("face_id", "n0", "n1", "n2"), "face_id")
     # one normal against the extremes: edges of a surface have few faces
     pair = e.alias("l").join(e.alias("r"), (F.col("l.u") == F.col("r.u")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.face_id") < F.col("r.face_id")))
     cosine = F.abs(F.expr(V.dot(V.columns("n", 3, "l"), V.columns("n", 3, "r"))))
-    from math import cos, radians
+    from math import radians, sin
 
-    hits = pair.where(cosine <= cos(radians(tolerance_deg))).select(F.col("l.u").alias("u"), F.col("l.v").alias("v")).distinct()
+    hits = pair.where(cosine <= sin(radians(min(tolerance_deg, 90.0))) if tolerance_deg > 0 else F.lit(False)).select(F.col("l.u").alias("u"), F.col("l.v").alias("v")).distinct()
     return e.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_faces")).join(hits, ["u", "v"])
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 from sheetwise.functions import vectors as V
 
 DIGITS = 9
+#: Distances held at once by a task of `knn_vectors`.
+HELD = 1 << 21
 
 
 def _cells(cols: Sequence[str], size: float) -> Column:
@@ -103,11 +105,36 @@ def knn_edges(points: DataFrame, cols: Sequence[str], k: int, include_self: bool
         size *= 2
 
 
+def _nearest_rows(here: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """(i, j, d2): for each row of `own` the k nearest of `rows` with another id and a finite distance."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        left, right = (own**2).sum(axis=1), (rows**2).sum(axis=1)
+        near = left[:, None] + right - 2 * (own @ rows.T)
+        near[~np.isfinite(near)] = np.inf
+        near[here[:, None] == ids] = np.inf
+        worst = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(here), np.inf)
+        # what a product and the rounding to DIGITS can be off by, on either side
+        top = right[np.isfinite(right)].max(initial=0.0)
+        slack = 2 * 10.0**-DIGITS + 8 * (own.shape[1] + 4) * np.finfo(float).eps * (left + top)
+        at, to = np.nonzero((near <= (worst + slack)[:, None]) & np.isfinite(near))
+        chunk = max(HELD // max(own.shape[1], 1), 1)
+        exact = [((rows[to[lo : lo + chunk]] - own[at[lo : lo + chunk]]) ** 2).sum(axis=1) for lo in range(0, len(at), chunk)]
+    d = np.round(np.concatenate(exact), DIGITS) if exact else np.zeros(0)
+    order = np.lexsort((ids[to], d, at))
+    at, to, d = at[order], to[order], d[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    best = rank < k
+    return pd.DataFrame({"i": here[at[best]], "j": ids[to[best]], "d2": d[best]})
+
+
 def knn_vectors(points: DataFrame, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(i, j, d2, rank) for array columns of any width.
 
     Ids are dealt into blocks; each pair of blocks is one task that keeps the k best of
     its rows, and the partial lists are merged: the matrix of distances never exists.
+    Matrix products propose the nearest, with room for their rounding; the proposed
+    are measured again by differences, so results and ties don't depend on the blocks.
     """
     n = max(points.count(), 1)
     blocks = -(-n // block)
@@ -118,18 +145,14 @@ def knn_vectors(points: DataFrame, vector: str, k: int, block: int = 4096) -> Da
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out = []
-        if len(a) and len(b):
-            ids, other = b.i.to_numpy(), np.stack(b.x.to_numpy())
-            order = np.argsort(ids)
-            ids, other = ids[order], other[order]
-            for i, x in zip(a.i, a.x):
-                d = np.round(((other - x) ** 2).sum(axis=1), DIGITS)
-                d[ids == i] = np.inf
-                top = np.lexsort((ids, d))[:k]
-                top = top[np.isfinite(d[top])]
-                out.append(pd.DataFrame({"i": i, "j": ids[top], "d2": d[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d2": []})
+        empty = pd.DataFrame({"i": [], "j": [], "d2": []})
+        if not len(a) or not len(b):
+            return empty
+        step = max(HELD // len(b), 1)
+        ids, rows = b.i.to_numpy(), np.stack(b.x.to_numpy())
+        here, own = a.i.to_numpy(), np.stack(a.x.to_numpy())
+        out = [_nearest_rows(here[lo : lo + step], own[lo : lo + step], ids, rows, k) for lo in range(0, len(a), step)]
+        return pd.concat(out) if out else empty
 
     part = left.unionByName(right).groupBy("p", "o").applyInPandas(best, "i bigint, j bigint, d2 double")
     return _top(part, k)

@@ -28,28 +28,40 @@ def is_binary_stl(data: bytes) -> bool:
 
 
 def parse_stl(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    """(corners (F, 3, 3), normals or None)."""
+    """(corners (F, 3, 3), normals or None); a file that looks binary but is too short for its count is tried as text first."""
+    found = None
     if is_binary_stl(data):
-        rows = np.frombuffer(data, _RECORD, count=min(int.from_bytes(data[80:84], "little"), (len(data) - 84) // 50), offset=84)
-        return rows["v"].astype(float), rows["n"].astype(float)
+        told, whole = int.from_bytes(data[80:84], "little"), (len(data) - 84) // 50
+        rows = np.frombuffer(data, _RECORD, count=min(told, whole), offset=84)
+        found = rows["v"].astype(float), rows["n"].astype(float)
+        if told <= whole:
+            return found
     corners, normals = [], []
     for line in data.decode("utf-8", "replace").splitlines():
         part = line.split()
+        words = [x.lower() for x in part[:2]]
         try:
-            if part[:1] == ["vertex"]:
+            if words[:1] == ["vertex"] and len(part) >= 4:
                 corners.append([float(x) for x in part[1:4]])
-            elif part[:2] == ["facet", "normal"]:
+            elif words == ["facet", "normal"] and len(part) >= 5:
                 normals.append([float(x) for x in part[2:5]])
         except ValueError:
             continue
-    if not corners or len(corners) % 3:
-        raise ValueError("no whole triangle in the file")
+    corners = corners[: len(corners) // 3 * 3]
+    if not corners:
+        if found is None or not len(found[0]):
+            raise ValueError("no whole triangle in the file")
+        return found
     return np.array(corners).reshape(-1, 3, 3), np.array(normals) if len(normals) * 3 == len(corners) else None
 
 
 def parse_obj(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    """Polygons become fans; a negative index counts from the last vertex so far."""
-    at, vn, corners, normals = [], [], [], []
+    """(corners (F, 3, 3), normals or None).
+
+    Polygons become fans; a negative index counts from the last vertex so far. Faces may
+    come before their vertices. Normals are those of all faces, or None where a corner has none.
+    """
+    at, vn, polygons = [], [], []
     for line in data.decode("utf-8", "replace").splitlines():
         part = line.split()
         if part[:1] == ["v"]:
@@ -59,19 +71,15 @@ def parse_obj(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
         elif part[:1] == ["f"]:
             ref = [(p.split("/") + ["", ""])[:3] for p in part[1:]]
             index = lambda x, n: int(x) - 1 if int(x) > 0 else n + int(x)
-            v = [index(r[0], len(at)) for r in ref]
-            m = [index(r[2], len(vn)) if r[2] else None for r in ref]
-            for k in range(1, len(v) - 1):
-                fan = (0, k, k + 1)
-                corners.append([at[v[i]] for i in fan])
-                if all(m[i] is not None for i in fan):
-                    mean = np.mean([vn[m[i]] for i in fan], axis=0)
-                    normals.append(mean / max(np.linalg.norm(mean), 1e-12))
-                else:
-                    normals.append([np.nan] * 3)
-    if not corners:
+            polygons.append([(index(r[0], len(at)), index(r[2], len(vn)) if r[2] else None) for r in ref])
+    fans = [(p[0], p[k], p[k + 1]) for p in polygons for k in range(1, len(p) - 1)]
+    if not fans:
         raise ValueError("no face in the file")
-    return np.array(corners, float), np.array(normals, float)
+    corners = np.array([[at[v] for v, _ in fan] for fan in fans], float)
+    if not vn or any(m is None for fan in fans for _, m in fan):
+        return corners, None
+    mean = np.array([np.mean([vn[m] for _, m in fan], axis=0) for fan in fans])
+    return corners, mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
 
 
 def _binary_files(spark: SparkSession, path: str) -> DataFrame:
