@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, jaccard, oracles, pii, quality_rules, simhash, suffix_dedup, token_store, warc
+from . import bpe, chat, decontaminate, importance, jaccard, oracles, pii, quality_rules, simhash, suffix_dedup, token_store, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op12_simhash": simhash.op12_simhash,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
