@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP2_SQL
 from .quality_rules import RULES, mask
+from .repair import OP11_SQL
 
 WORD = "'[^\\x20\\x09-\\x0D]+'"
 
@@ -77,4 +78,4 @@ SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, round(sim, 6) AS si
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_warc": OP3, "op4_suffix_dedup": OP4, "op5_ngram_jaccard": OP5, "op6_quality_rules": _op6(), "op9_decontaminate": OP9}
+    return {"op2_chat_format": OP2_SQL, "op3_warc": OP3, "op4_suffix_dedup": OP4, "op5_ngram_jaccard": OP5, "op6_quality_rules": _op6(), "op9_decontaminate": OP9, "op11_repair": OP11_SQL}

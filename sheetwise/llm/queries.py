@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, jaccard, oracles, pii, quality_rules, simhash, suffix_dedup, token_store, warc, whitening
+from . import bpe, chat, decontaminate, importance, jaccard, oracles, pii, quality_rules, repair, simhash, suffix_dedup, token_store, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op11_repair": repair.op11_repair,
         "op12_simhash": simhash.op12_simhash,
         "op13_whitening": whitening.op13_whitening,
     }
