@@ -1,161 +1,46 @@
-"""Neighbour joins over point clouds: k nearest, radius, cross-cloud.
+"""Neighbour joins over point clouds: k nearest, radius, cross-cloud, over the pivot index of `pivots`.
 
-A cloud is a DataFrame with an id `i` and coordinates in scalar columns. In up to
-three dimensions both joins run over a grid of cells, so a point only meets the
-points of adjacent cells; wide vectors run block against block in numpy, with
-partial top-k lists merged afterwards. Neither builds all pairs of the cloud, and
-nothing is broadcast.
-
-Ties are broken by id after rounding squared distances to 9 digits.
+A cloud is a DataFrame with an id `i` and coordinates in scalar columns or, for vectors
+of any width, in an array. Ties are broken by id after rounding squared distances to 9
+digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sheetwise.functions import vectors as V
+from sheetwise.operators import pivots
+from sheetwise.operators.pivots import DIGITS
 
-DIGITS = 9
-#: Distances held at once by a task of `knn_vectors`.
-HELD = 1 << 21
-
-
-def _cells(cols: Sequence[str], size: float) -> Column:
-    return F.array(*[F.floor(F.col(c) / F.lit(size)).cast("long") for c in cols])
-
-
-def _around(cell: Column, n: int) -> Column:
-    """The 3^n cells about a cell."""
-    out = F.array(F.array().cast("array<bigint>"))
-    for k in range(n):
-        out = _append(out, cell[k])
-    return out
 
-
-def _append(heads: Column, at: Column) -> Column:
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return F.flatten(F.transform(heads, lambda head: F.transform(steps, lambda s: F.concat(head, F.array(at + s)))))
+def _vector(points: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return points.select("i", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
 
 
 def radius_edges(points: DataFrame, cols: Sequence[str], radius: float, queries: DataFrame | None = None, include_self: bool = False) -> DataFrame:
     """(i, j, d2) for all pairs within the radius (empty for radius <= 0); queries default to the cloud itself."""
-    left = (queries if queries is not None else points).select(F.col("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = points.select(F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    d2 = F.expr(V.dist2([f"a_{c}" for c in cols], [f"b_{c}" for c in cols]))
-    if radius <= 0:
-        return left.crossJoin(right.limit(0)).select("i", "j", d2.alias("d2"))
-    left = left.withColumn("cell", F.explode(_around(_cells([f"a_{c}" for c in cols], radius), len(cols))))
-    right = right.withColumn("cell", _cells([f"b_{c}" for c in cols], radius))
-    out = left.join(right, "cell").select("i", "j", d2.alias("d2")).where(F.col("d2") <= radius * radius)
-    return out if include_self or queries is not None else out.where("i <> j")
+    limit = radius if radius > 0 else -1.0
+    return pivots.radius(_vector(points, cols), "x", limit, None if queries is None else _vector(queries, cols), include_self)
 
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("i").orderBy(F.round("d2", DIGITS), "j")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def nearest_in(queries: DataFrame, points: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, d2): the nearest point of another cloud for each query; none if that cloud is empty."""
+    return pivots.knn(_vector(points, cols), "x", 1, _vector(queries, cols)).select("i", "j", "d2")
 
 
-def nearest_in(queries: DataFrame, points: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(i, j, d2): the nearest point of another cloud for each query, over a grid that grows until all have one."""
-    both = queries.select(*cols).unionByName(points.select(*cols))
-    box = both.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in cols]).first()
-    widest = max([float(box[c] or 0.0) for c in cols] + [1e-9])
-    size, todo, done = widest * max((4 / max(box["n"], 1)) ** (1 / len(cols)), 1e-6), queries, None
-    while True:
-        near = _top(radius_edges(points, cols, size, todo), 1).select("i", "j", "d2")
-        done = near if done is None else done.unionByName(near)
-        todo = todo.join(near.select("i"), "i", "left_anti")
-        if size > 2 * widest * len(cols) or todo.isEmpty():
-            return done
-        size *= 2
-
-
-def knn_edges(points: DataFrame, cols: Sequence[str], k: int, include_self: bool = False, cell: float | None = None) -> DataFrame:
-    """(i, j, d2, rank): the k nearest of each point, itself excluded by id, over a grid that grows until exact.
-
-    A point is settled when its k-th neighbour lies no farther than the cell size, as
-    then no unseen cell can hold a nearer one; the others go on with double the size.
-    """
-    n = len(cols)
-    box = points.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
-    if not box["n"]:
-        return radius_edges(points, cols, 0.0).withColumn("rank", F.lit(1))
-    spans = [float(box[f"hi_{c}"] - box[f"lo_{c}"]) for c in cols]
-    widest = max(max(spans), 1e-9)
-    size = cell or widest * max((k / max(box["n"], 1)) ** (1 / n), 1e-6)
-    want = min(k, box["n"] - (0 if include_self else 1))
-    todo, done = points, None
-    while True:
-        near = _top(radius_edges(points, cols, size, todo, True).where("TRUE" if include_self else "i <> j"), k)
-        last = size > 2 * widest * n
-        full = near.groupBy("i").agg(F.count(F.lit(1)).alias("got")).where(F.col("got") >= want).select("i")
-        settled = near if last else near.join(full, "i", "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        if last:
-            return done
-        todo = todo.join(full, "i", "left_anti")
-        if todo.isEmpty():
-            return done
-        size *= 2
-
-
-def _nearest_rows(here: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """(i, j, d2): for each row of `own` the k nearest of `rows` with another id and a finite distance."""
-    with np.errstate(invalid="ignore", over="ignore"):
-        left, right = (own**2).sum(axis=1), (rows**2).sum(axis=1)
-        near = left[:, None] + right - 2 * (own @ rows.T)
-        near[~np.isfinite(near)] = np.inf
-        near[here[:, None] == ids] = np.inf
-        worst = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(here), np.inf)
-        # what a product and the rounding to DIGITS can be off by, on either side
-        top = right[np.isfinite(right)].max(initial=0.0)
-        slack = 2 * 10.0**-DIGITS + 8 * (own.shape[1] + 4) * np.finfo(float).eps * (left + top)
-        at, to = np.nonzero((near <= (worst + slack)[:, None]) & np.isfinite(near))
-        chunk = max(HELD // max(own.shape[1], 1), 1)
-        exact = [((rows[to[lo : lo + chunk]] - own[at[lo : lo + chunk]]) ** 2).sum(axis=1) for lo in range(0, len(at), chunk)]
-    d = np.round(np.concatenate(exact), DIGITS) if exact else np.zeros(0)
-    order = np.lexsort((ids[to], d, at))
-    at, to, d = at[order], to[order], d[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    best = rank < k
-    return pd.DataFrame({"i": here[at[best]], "j": ids[to[best]], "d2": d[best]})
-
-
-def knn_vectors(points: DataFrame, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """(i, j, d2, rank) for array columns of any width.
-
-    Ids are dealt into blocks; each pair of blocks is one task that keeps the k best of
-    its rows, and the partial lists are merged: the matrix of distances never exists.
-    Matrix products propose the nearest, with room for their rounding; the proposed
-    are measured again by differences, so results and ties don't depend on the blocks.
-    """
-    n = max(points.count(), 1)
-    blocks = -(-n // block)
-    dealt = points.select("i", F.transform(F.col(vector), lambda x: x.cast("double")).alias("x")).withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.withColumn("o", F.explode(every)).withColumn("side", F.lit(0)).withColumnRenamed("b", "p").select("p", "o", "side", "i", "x")
-    right = dealt.withColumn("p", F.explode(every)).withColumn("side", F.lit(1)).withColumnRenamed("b", "o").select("p", "o", "side", "i", "x")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        empty = pd.DataFrame({"i": [], "j": [], "d2": []})
-        if not len(a) or not len(b):
-            return empty
-        step = max(HELD // len(b), 1)
-        ids, rows = b.i.to_numpy(), np.stack(b.x.to_numpy())
-        here, own = a.i.to_numpy(), np.stack(a.x.to_numpy())
-        out = [_nearest_rows(here[lo : lo + step], own[lo : lo + step], ids, rows, k) for lo in range(0, len(a), step)]
-        return pd.concat(out) if out else empty
-
-    part = left.unionByName(right).groupBy("p", "o").applyInPandas(best, "i bigint, j bigint, d2 double")
-    return _top(part, k)
+def knn_edges(points: DataFrame, cols: Sequence[str], k: int, include_self: bool = False) -> DataFrame:
+    """(i, j, d2, rank): the k nearest of each point, itself excluded by id."""
+    return pivots.knn(_vector(points, cols), "x", k, itself=include_self)
+
+
+def knn_vectors(points: DataFrame, vector: str, k: int, block: int = pivots.BLOCK) -> DataFrame:
+    """(i, j, d2, rank) for array columns of any width; squared distances are rounded."""
+    index = pivots.build(points, vector, block)
+    return pivots.knn(points, vector, k, index=index).withColumn("d2", F.round("d2", DIGITS))
 
 
 def chamfer(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
