@@ -177,9 +177,9 @@ def _selections(add) -> None:
     order = f"(i + 7) * {num(0.6180339887498949)} - floor((i + 7) * {num(0.6180339887498949)})"
     add("flatten_grid", lambda s, d: _rounded(selections.flatten_grid(_torus(s).withColumns({"iu": F.floor(F.col("i") / 12), "iv": F.col("i") % 12}), 12), ["i"], X3), f"SELECT i, {_shown(X3)} FROM ({TORUS_SQL})")
     add("stride_part", lambda s, d: selections.stride(part(s, d), 7).select("i"), f"SELECT i FROM ({part_sql}) WHERE i % 7 = 0")
-    add("remap_singular", lambda s, d: selections.remap(part(s, d).where("u > 20"), part(s, d).where("v > 1000")), f"WITH e AS ({part_sql}), k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS new FROM e WHERE u > 20) SELECT k.i AS old, new FROM k JOIN e ON k.i = e.i WHERE v > 1000")
-    add("pick_queries", lambda s, d: selections.pick_queries(part(s, d), part(s, d).where("v > 1000"), 5, 7),
-        f"WITH e AS ({part_sql}), f AS (SELECT i FROM e WHERE v > 1000 ORDER BY {order}, i LIMIT 1), r AS (SELECT i FROM e WHERE i NOT IN (SELECT i FROM f) ORDER BY {order}, i LIMIT (5 - (SELECT count(*) FROM f))) SELECT i, true AS singular FROM f UNION ALL SELECT i, false FROM r")
+    add("remap_singular", lambda s, d: selections.remap(part(s, d).where("u > 20"), part(s, d).where("v > 990")), f"WITH e AS ({part_sql}), k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS new FROM e WHERE u > 20) SELECT k.i AS old, new FROM k JOIN e ON k.i = e.i WHERE v > 990")
+    add("pick_queries", lambda s, d: selections.pick_queries(part(s, d), part(s, d).where("v > 990"), 5, 7),
+        f"WITH e AS ({part_sql}), f AS (SELECT i FROM e WHERE v > 990 ORDER BY {order}, i LIMIT 1), r AS (SELECT i FROM e WHERE i NOT IN (SELECT i FROM f) ORDER BY {order}, i LIMIT (5 - (SELECT count(*) FROM f))) SELECT i, true AS singular FROM f UNION ALL SELECT i, false FROM r")
     group = f"e AS (SELECT *, i % 2 AS g FROM ({FIG8}))"
     turned = "CASE WHEN a.u0 * b.u0 + a.u1 * b.u1 < 0 THEN -1 ELSE 1 END"
     add("smooth_tangents_fig8", lambda s, d: _rounded(selections.smooth_tangents(_fig8(s).withColumn("g", F.col("i") % 2), X2, U2, 0.3503, "g", 1), ["i"], U2),

@@ -16,6 +16,7 @@ from sheetwise.functions import vectors as V
 from sheetwise.functions.symbolic import num
 from sheetwise.operators import calculus, cluster, components, frames, heat, implicit, kernels, levels, lift, mesh, neighbors, reconstruct, rewrites
 from sheetwise.plans.more import more
+from sheetwise.plans.tables import tables
 from sheetwise.sources import generators as G
 from sheetwise.sources.catalogue import curves, surfaces
 
@@ -281,7 +282,7 @@ def _two_rings(spark: SparkSession) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return _relational() | _rewrites() | _catalogue() | more()
+    return _relational() | _rewrites() | _catalogue() | more() | tables()
 
 
 def queries() -> dict[str, Query]:
