@@ -5,22 +5,63 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.operators import pivots
 from sheetwise.operators.components import components
-from sheetwise.operators.neighbors import radius_edges
 from sheetwise.operators.solvers import bottom_spectrum
+from sheetwise.plans.lineage import cut
 
 
 def dbscan(points: DataFrame, cols: Sequence[str], radius: float, least: int = 5) -> DataFrame:
-    """(i, label): the least core point of the cluster, -1 for noise; a border point joins its least core neighbour's cluster."""
-    edges = radius_edges(points, cols, radius, include_self=True)
-    core = edges.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("i")
-    inner = edges.join(core, "i", "left_semi").join(core.select(F.col("i").alias("j")), "j", "left_semi")
-    root = components(inner, core)
-    border = edges.join(core, "i", "left_anti").join(root.select(F.col("i").alias("j"), "root"), "j").groupBy("i").agg(F.min("root").alias("root"))
-    return points.select("i").join(root.unionByName(border), "i", "left").select("i", F.coalesce("root", F.lit(-1)).alias("label"))
+    """(i, label): the least core point of the cluster, -1 for noise; a border point joins its least core neighbour's cluster.
+
+    Any two points of a cell of diagonal `radius` are near, so a cell with `least` points
+    holds only core points and counts as one node of the graph. Neighbours of the other
+    points are counted, and near nodes paired, inside the tasks of the pivot index: a
+    pair of points is never a row. A neighbour count includes the point itself.
+    """
+    side = radius / len(cols) ** 0.5 * (1 - 1e-9)
+    placed = points.select(F.col("i").cast("bigint").alias("i"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    index = pivots.build(placed, "x")
+    if index is None or radius <= 0:
+        return placed.select("i", F.lit(-1).cast("bigint").alias("label"))
+    celled = index.points.withColumn("cell", F.transform("x", lambda c: F.floor(c / side)))
+    cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    dense = F.col("n") >= least
+    rows = cut(celled.join(cells, "cell").select("b", "i", "x", dense.alias("core"), F.when(dense, F.col("first")).otherwise(F.col("i")).alias("node")))
+
+    def count(a, b, at, to, state):
+        found, n = np.unique(at, return_counts=True)
+        return pa.table({"i": a["i"].take(pa.array(found)), "n": pa.array(n.astype(np.int64))})
+
+    sparse = rows.where("NOT core").select("b", "i", "x")
+    counts = pivots.near_sums(index, sparse, rows.select("b", "i", "x"), radius, count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n"))
+    rows = cut(rows.join(counts, "i", "left").select("b", "i", "x", "node", (F.col("core") | (F.coalesce("n", F.lit(0)) >= least)).alias("core")))
+    core = rows.where("core").select("b", "i", "x", "node")
+
+    def pair(a, b, at, to, state):
+        """Each pair of nodes once a task."""
+        both = np.unique(np.stack([a["node"].to_numpy()[at], b["node"].to_numpy()[to]]), axis=1)
+        new = [k for k, q in enumerate(zip(*both.tolist())) if q[0] < q[1] and q not in state]
+        state.update(dict.fromkeys(zip(*both[:, new].tolist())))
+        return pa.table({"i": pa.array(both[0, new], pa.int64()), "j": pa.array(both[1, new], pa.int64())})
+
+    edges = pivots.near_sums(index, core, core, radius, pair, "i bigint, j bigint").distinct()
+    roots = cut(components(edges, core.select(F.col("node").alias("i")).distinct()).select(F.col("i").alias("node"), "root"))
+    rooted = cut(core.join(roots, "node").select("b", "i", "x", "root"))
+
+    def join(a, b, at, to, state):
+        low = np.full(a.num_rows, np.iinfo(np.int64).max)
+        np.minimum.at(low, at, b["root"].to_numpy()[to])
+        found = np.unique(at)
+        return pa.table({"i": a["i"].take(pa.array(found)), "root": pa.array(low[found])})
+
+    border = pivots.near_sums(index, rows.where("NOT core").select("b", "i", "x"), rooted, radius, join, "i bigint, root bigint").groupBy("i").agg(F.min("root").alias("root"))
+    label = rooted.select("i", "root").unionByName(border)
+    return placed.select("i").join(label, "i", "left").select("i", F.coalesce("root", F.lit(-1)).alias("label"))
 
 
 def spectral(laplacian: DataFrame, clusters: int, tries: int = 10, seed: int = 0) -> DataFrame:

@@ -157,8 +157,9 @@ def build(points: DataFrame, vector: str, block: int = BLOCK, crowded: int = CRO
 
 
 def _sent(index: Index, rows: DataFrame, own: bool) -> DataFrame:
-    """(b, i, x) for each query (b, i, x, tau, last) and block that it has to meet; its own block (b) only if own."""
+    """(b, i, x, ..) for each query (b, i, x, tau, last, ..) and block that it has to meet; its own block (b) only if own."""
     centres, radii, least = index.centres, index.radii, index.least
+    more = rows.columns[5:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,34 +176,59 @@ def _sent(index: Index, rows: DataFrame, own: bool) -> DataFrame:
                 if not own:
                     meets[np.arange(len(meets)), home[lo:hi]] = False
                 at, to = np.nonzero(meets)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(k).take(pa.array(at + lo)) for k in (1, 2))], ["b", "i", "x"])
+                kept = [1, 2, *range(5, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(k).take(pa.array(at + lo)) for k in kept)], ["b", "i", "x", *more])
 
-    return rows.mapInArrow(run, "b int, i bigint, x array<double>")
+    return rows.mapInArrow(run, ", ".join(["b int", "i bigint", "x array<double>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
 
 
-def _met(index: Index, queries: DataFrame, work) -> DataFrame:
-    """(i, j, d2) from work(here, own, ids, rows) for each block and the queries (b, i, x) sent to it, QUERIES or so at a time."""
+def _tasks(queries: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
+    """run(queries, points) for each block's points (b, i, x, ..) and the queries sent to it, QUERIES or so at a time."""
     queries = cut(queries)
     counts = queries.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERIES)
     times = {r.b: -(-r.n // QUERIES) for r in counts.collect()}  # at most a row for each block
     copies = F.lit(1)
-    for b, n in times.items():
-        copies = F.when(F.col("b") == b, n).otherwise(copies)
     if len(times) > 32:
         table = queries.sparkSession.createDataFrame(list(times.items()), "b int, copies int")
-        left, right = queries.join(F.broadcast(table), "b", "left"), index.points.join(F.broadcast(table), "b", "left")
+        queries, points = queries.join(F.broadcast(table), "b", "left"), points.join(F.broadcast(table), "b", "left")
         copies = F.coalesce("copies", F.lit(1))
     else:
-        left, right = queries, index.points
-    left = left.select("b", F.pmod(F.xxhash64("i"), copies).cast("int").alias("s"), "i", "x")
-    right = right.select("b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("s"), "i", "x")
+        for b, n in times.items():
+            copies = F.when(F.col("b") == b, n).otherwise(copies)
+    left = queries.withColumn("s", F.pmod(F.xxhash64("i"), copies).cast("int"))
+    right = points.withColumn("s", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, schema)
+
+
+def _met(index: Index, queries: DataFrame, work) -> DataFrame:
+    """(i, j, d2) from work(here, own, ids, rows) for each block and the queries (b, i, x) sent to it."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         here, ids = a["i"].to_numpy(), b["i"].to_numpy()
         found = work(here, _matrix(a["x"]), ids, _matrix(b["x"])) if len(here) and len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"i": pa.array(here[found[0]]), "j": pa.array(ids[found[1]]), "d2": pa.array(found[2])})
 
-    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, "i bigint, j bigint, d2 double")
+    return _tasks(queries, index.points, run, "i bigint, j bigint, d2 double")
+
+
+def near_sums(index: Index, queries: DataFrame, points: DataFrame, limit: float, work, schema: str) -> DataFrame:
+    """What work(queries, points, at, to, state) sums up over all pairs within the limit, with no pair ever leaving its task.
+
+    queries and points are rows of the index with more columns (b, i, x, ..); work gets
+    both as tables and the places of near pairs, a slice of queries at a time, and
+    returns a table of the schema; state is a dict that lasts for the task.
+    """
+    limit = float(limit)
+    bounded = queries.select("b", "i", "x", F.lit(limit**2).alias("tau"), F.lit(2**63 - 1).alias("last"), *queries.columns[3:])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out, state = [], {}
+        if a.num_rows and b.num_rows:
+            for at, to, _ in within(a["i"].to_numpy(), _matrix(a["x"]), b["i"].to_numpy(), _matrix(b["x"]), limit, True):
+                out.append(work(a, b, at, to, state))
+        return pa.concat_tables(out) if out else work(a.slice(0, 0), b.slice(0, 0), np.zeros(0, np.int64), np.zeros(0, np.int64), state)
+
+    return _tasks(_sent(index, bounded, True), points, run, schema)
 
 
 def _homed(index: Index, queries: DataFrame) -> DataFrame:
