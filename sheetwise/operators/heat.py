@@ -41,7 +41,7 @@ def diffuse(weights: DataFrame, masses: DataFrame, source: int, t: float) -> Dat
 
 
 def heat_distance(weights: DataFrame, points: DataFrame, x: Sequence[str], source: int, dim: int, scale: float = 1.0) -> DataFrame:
-    """(i, distance): geodesic distance from the source; points in other components get null."""
+    """(i, distance): geodesic distance from the source; points of other components get 0, as do values below it."""
     t = time_step(weights, points, x, scale).first().t
     u = diffuse(weights, mass(weights, points, x, dim), source, t)
     both = pair_up(weights.where("i <> j"), points.join(u, "i"), [*x, "value"])
@@ -62,7 +62,7 @@ def heat_distance(weights: DataFrame, points: DataFrame, x: Sequence[str], sourc
     system = lap.join(free, "i", "left_semi").join(free.select(F.col("i").alias("j")), "j", "left_semi")
     phi = solve(system, div.join(free, "i", "left_semi").select("i", (-F.col("value")).alias("value")))
     out = phi.unionByName(inside.where(F.col("i") == source).select("i", F.lit(0.0).alias("value")))
-    return points.select("i").join(out, "i", "left").select("i", F.abs("value").alias("distance"))
+    return points.select("i").join(out, "i", "left").select("i", F.greatest("value", F.lit(0.0)).alias("distance"))
 
 
 def soft_partition(a: DataFrame, b: DataFrame, width: float = 1.0) -> DataFrame:

@@ -117,7 +117,7 @@ def scene(spark: SparkSession, sql: str, n: int) -> DataFrame:
 
 
 def area_uniform(spark: SparkSession, name: str, n: int, candidates: int | None = None) -> DataFrame:
-    """n points of a catalogue surface, uniform by area; candidates are doubled until enough are kept."""
+    """n points of a catalogue surface, uniform by area; candidates are doubled until enough are kept, an error after 4096 n."""
     from pyspark.sql import functions as F
 
     tried = candidates or 4 * n
@@ -125,6 +125,8 @@ def area_uniform(spark: SparkSession, name: str, n: int, candidates: int | None
     while True:
         ids = spark.range(tried).select(F.col("id").alias("i"))
         out = spark.sql(area_uniform_sql(surfaces()[name], n, "{grid}", "{ids}"), grid=grid, ids=ids)
-        if out.count() >= n or tried > 4096 * n:
+        if out.count() >= n:
             return out
+        if tried > 4096 * n:
+            raise RuntimeError(f"fewer than {n} points in {tried} candidates")
         tried *= 2

@@ -1,5 +1,8 @@
 """Silhouettes, blades and implicit surfaces."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from sheetwise.operators import frames, implicit, mesh
@@ -26,3 +29,10 @@ def test_implicit_circle(spark):
     r = implicit.project(near, ["x0", "x1"], field).collect()
     assert max(q.residual for q in r) < 0.01
     assert all(abs((q.x0**2 + q.x1**2) ** 0.5 - 1) < 0.1 for q in r)
+
+
+def test_training_on_all_rows(spark):
+    p = spark.range(600).selectExpr("id as i", f"cos(id * {2 * math.pi / 600}) as x0", f"sin(id * {2 * math.pi / 600}) as x1").selectExpr("i", "x0", "x1", "x0 as n0", "x1 as n1")
+    field = implicit.fit(p, ["x0", "x1"], ["n0", "n1"], epochs=900, sample=None, rounds=6)
+    ring = np.array([(math.cos(t), math.sin(t)) for t in np.linspace(0, 6, 50)])
+    assert np.abs(field.value(ring)).max() < 0.1
