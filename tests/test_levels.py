@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sheetwise.operators import levels, reconstruct, rewrites
+from sheetwise.operators import geodesics, levels, reconstruct, rewrites
 from sheetwise.sources import generators
 
 
@@ -50,3 +50,27 @@ def test_long_spline(spark):
     assert len(s.controls) == n and np.abs(got - np.array([r[1:] for r in rows])).max() < 1e-6
     last = reconstruct.evaluate(spark, s, 2).where("i = 1").first()
     assert abs(last.x0 - (n - 1)) < 1e-6 and abs(last.x1 - (n - 1) ** 2 % 7) < 1e-6
+
+
+def test_principal_curvatures_of_a_torus(spark):
+    """Around the tube 1 everywhere, around the axis cos a / (2 + cos a), the first one along the tube."""
+    import pytest
+
+    k = np.arange(1600)
+    a, b = 2 * np.pi * (k % 40) / 40, 2 * np.pi * (k // 40) / 40 + 0.05 * (k % 40)
+    n = np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)
+    x = n + 2 * np.stack([np.cos(b), np.sin(b), 0 * b], axis=1)
+    names = ["x0", "x1", "x2", "n0", "n1", "n2"]
+    points = spark.createDataFrame([(i, *map(float, p), *map(float, q)) for i, (p, q) in enumerate(zip(x, n))], "i bigint, " + ", ".join(f"{c} double" for c in names))
+    base = geodesics.from_normals(points, names[:3], names[3:]).rows
+    got = {r.i: r for r in levels.principal_curvatures(base, levels.lift(base, 2, 12)).collect()}
+    gauss = np.cos(a) / (2 + np.cos(a))
+    assert np.corrcoef([got[i].gauss for i in k], gauss)[0, 1] > 0.97
+    sizes = np.array([np.abs(got[i].principal) for i in k])
+    assert np.median(np.abs(sizes.max(axis=1) - 1)) < 0.1
+    along = np.stack([-np.sin(a) * np.cos(b), -np.sin(a) * np.sin(b), np.cos(a)], axis=1)
+    steep = [np.reshape(got[i].directions, (2, 3))[np.abs(got[i].principal).argmax()] for i in k]
+    assert np.median(np.abs((np.array(steep) * along).sum(axis=1))) > 0.98
+    line = generators.curve_points(spark, "helix", 40).select("i", F.array("x0", "x1", "x2").alias("e"), F.array("u0", "u1", "u2").alias("u"))
+    with pytest.raises(Exception, match="hypersurface"):
+        levels.principal_curvatures(line, levels.lift(line, 1, 5)).collect()
