@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -100,7 +101,10 @@ def batch_convert(spark: SparkSession, top: str, to: str, n: int) -> DataFrame:
     """(path, status, rows): every STL and OBJ file under a folder as an NPZ cloud of n points with normals in the folder `to`.
 
     One row a file; a file that can't be read gets its error as status and spoils no other.
+    A cloud is named by its file's path below the top, with __ for /, so equal names in
+    different folders stay apart; clouds of OBJ files keep that ending in their names.
     """
+    root = urlparse(top).path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{stl,obj,STL,OBJ}").load(top).select("path", "content")
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +115,8 @@ def batch_convert(spark: SparkSession, top: str, to: str, n: int) -> DataFrame:
                     p, normals = sampled(np.asarray(corners, float), n)
                     if not len(p):
                         raise ValueError("no triangle with an area")
-                    name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                    below = urlparse(path).path.removeprefix(root).lstrip("/")
+                    name = below.removesuffix(below[-4:]).replace("/", "__") + (".obj" if path.lower().endswith(".obj") else "")
                     _put(f"{to.rstrip('/')}/{name}.npz", cloud_bytes({"points": p, "normals": normals} | encode_params({})))
                     row = (path, "done", len(p))
                 except (ValueError, IndexError, KeyError, UnicodeDecodeError, OSError, zipfile.BadZipFile) as e:
