@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sheetwise.functions import vectors as V
 from sheetwise.functions.symbolic import num
 from sheetwise.operators import calculus, cluster, components, frames, heat, implicit, kernels, levels, lift, mesh, neighbors, reconstruct, rewrites
+from sheetwise.plans.lineage import cut
 from sheetwise.plans.more import more
 from sheetwise.plans.tables import tables
 from sheetwise.sources import generators as G
@@ -83,7 +84,7 @@ LOCAL_SQL = """
 
 
 def _emb_edges(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return neighbors.knn_vectors(_embeddings(spark, d), "x", k)
+    return cut(neighbors.knn_vectors(_embeddings(spark, d), "x", k))  # the affinities read the edges several times
 
 
 def _emb_weights(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,15 @@ def test_odd_points(spark):
     flat = df.selectExpr("i", "x[0] as x0", "x[1] as x1")
     assert neighbors.radius_edges(flat, ["x0", "x1"], 0.0).count() == 0
     assert neighbors.nearest_in(flat, flat.limit(0), ["x0", "x1"]).count() == 0
+
+
+def test_many_blocks_with_many_queries(spark, monkeypatch):
+    """More than 32 blocks whose queries go to several tasks each."""
+    x = data("wide")
+    df = cloud(spark, x)
+    index = pivots.build(df, "x", block=7)
+    assert index.blocks > 32
+    monkeypatch.setattr(pivots, "QUERIES", 8)
+    assert {(r.i, r.j, r.rank) for r in pivots.knn(df, "x", 4, index=index).collect()} == plain(x, x, 4, False)
+    got = {(r.i, r.j) for r in pivots.radius(df, "x", 4.5, index=index).collect()}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(squares(x, x) <= 4.5**2)) if i != j}
