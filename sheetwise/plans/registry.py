@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions import vectors as V
 from sheetwise.functions.symbolic import num
-from sheetwise.operators import calculus, cluster, components, frames, heat, implicit, kernels, levels, lift, mesh, neighbors, reconstruct, rewrites
+from sheetwise.operators import calculus, cluster, frames, heat, implicit, kernels, levels, lift, mesh, neighbors, reconstruct, rewrites
 from sheetwise.plans.lineage import cut
 from sheetwise.plans.more import more
 from sheetwise.plans.tables import tables
@@ -197,7 +197,7 @@ def _relational() -> dict[str, tuple[Query, str | None]]:
 
     # clusters
     edge = "SELECT a.i, b.i AS j FROM e a JOIN e b ON a.i <> b.i AND " + d2 + f" <= {num(0.0151**2)}"
-    add("components_part", lambda s, d: components.components(neighbors.radius_edges(_parts(s, d), X2, 0.0151), _parts(s, d)),
+    add("components_part", lambda s, d: cluster.radius_components(_parts(s, d), X2, 0.0151),
         f"WITH RECURSIVE e AS ({PART_SQL}), l AS ({edge}), r AS (SELECT i, i AS root FROM e UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.i) SELECT i, min(root) AS root FROM r GROUP BY i")
     add("dbscan_part", lambda s, d: cluster.dbscan(_parts(s, d), X2, 0.0151, 5),
         f"WITH RECURSIVE e AS ({PART_SQL}), l AS ({edge}), c AS (SELECT i FROM l GROUP BY i HAVING count(*) >= 4), lc AS (SELECT l.i, l.j FROM l JOIN c ON l.i = c.i JOIN c d ON l.j = d.i), r AS (SELECT i, i AS root FROM c UNION SELECT lc.j, r.root FROM r JOIN lc ON lc.i = r.i), m AS (SELECT i, min(root) AS root FROM r GROUP BY i), b AS (SELECT l.i, min(m.root) AS root FROM l JOIN m ON l.j = m.i WHERE l.i NOT IN (SELECT i FROM c) GROUP BY l.i) SELECT e.i, coalesce(m.root, b.root, -1) AS label FROM e LEFT JOIN m ON e.i = m.i LEFT JOIN b ON e.i = b.i")
