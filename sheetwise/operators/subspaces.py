@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.operators import kernels
+from sheetwise.operators import direct, kernels
 from sheetwise.operators.neighbors import knn_edges
 from sheetwise.operators.solvers import spectrum
 from sheetwise.plans.lineage import cut
@@ -107,7 +107,7 @@ def segment_parameters(points: DataFrame, x: Sequence[str], normals: Sequence[st
     rank = {r[label]: n for n, r in enumerate(sizes.orderBy(label).select(label).collect())}
     apart = points.sparkSession.createDataFrame([(int(v), float(n) * far) for v, n in rank.items()] or [(-1, 0.0)], f"{label} bigint, _apart double")
     placed = cut(rows.join(F.broadcast(apart), label))
-    edges = knn_edges(placed, [*x, "_apart"], k)
+    edges = cut(knn_edges(placed, [*x, "_apart"], k))
     weights = kernels.bilateral(edges, placed, list(x), list(normals))
     lap = cut(kernels.laplacian(weights, True).join(placed.select("i", label, "_size"), "i"))
 
@@ -120,8 +120,10 @@ def segment_parameters(points: DataFrame, x: Sequence[str], normals: Sequence[st
         return pa.table({"i": ids, "y": pa.array(y[:, 1:3].tolist(), pa.list_(pa.float64()))})
 
     made = lap.where(F.col("_size") <= most).select(label, "i", "j", "v").groupBy(label).applyInArrow(solve, "i bigint, y array<double>")
+    # ids say nothing about places: without an order the solver's uppermost node would hold most of a segment
+    order = cut(direct.curve_order(placed, x))
     for r in sizes.where(F.col("_size") > most).collect():  # each with its own solution
-        y, _ = spectrum(lap.where(F.col(label) == r[label]).select("i", "j", "v"), 2, drop_first=True)
+        y, _ = spectrum(lap.where(F.col(label) == r[label]).select("i", "j", "v"), 2, drop_first=True, order=order)
         made = made.unionByName(y)
     both = cut(made.join(placed.select("i", label), "i").select("i", label, F.col("y")[0].alias("u"), F.col("y")[1].alias("v")))
     bounds = both.groupBy(label).agg(*[f(c).alias(f"{n}_{c}") for c in "uv" for n, f in (("lo", F.min), ("hi", F.max))])

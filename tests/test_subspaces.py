@@ -52,3 +52,17 @@ def test_segment_parameters(spark):
             u = np.array([got[q[0]].u for q in mine])
             assert abs(u.min() + 0.5) < 1e-9 and abs(u.max() - 0.5) < 1e-9
             assert abs(np.corrcoef(u, [q[2] for q in mine])[0, 1]) > 0.95
+
+
+def test_large_segments_are_solved_in_the_order_of_places(spark, monkeypatch):
+    """Ids at random: without an order almost all of a segment would meet in one dense matrix."""
+    r = np.random.default_rng(5)
+    t = np.linspace(0, 1, 240)
+    rows = [(int(i), float(a), float(b), 0.0, 0.0, 0.0, 1.0, 1) for i, a, b in zip(r.permutation(240), t, r.uniform(size=240) * 0.05)]
+    points = spark.createDataFrame(rows, "i bigint, x0 double, x1 double, x2 double, n0 double, n1 double, n2 double, s bigint")
+    orders, real = [], subspaces.spectrum
+    monkeypatch.setattr(subspaces, "spectrum", lambda *a, order=None, **b: orders.append(order) or real(*a, order=order, **b))
+    got = {q.i: q.u for q in subspaces.segment_parameters(points, ["x0", "x1", "x2"], ["n0", "n1", "n2"], "s", k=8, most=100).collect()}
+    assert len(orders) == 1 and {q.i for q in orders[0].collect()} == set(range(240))
+    along = np.corrcoef([x[1] for x in rows], [got[x[0]] for x in rows])[0, 1]
+    assert abs(along) > 0.9
