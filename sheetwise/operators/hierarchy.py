@@ -4,8 +4,9 @@ The mutual reachability of two points is the largest of their distance and both
 distances; a core distance reaches the samples-th point, the point itself included. The
 tree grows in Boruvka rounds over the pivot index: lists of nearest neighbours propose
 each component's shortest way out, and only points whose list cannot rule out a shorter
-one look further, at blocks within that way's length that hold another component. Edges
-are ordered by length (rounded to DIGITS) and both ids, so the tree is unique.
+one look further, at blocks within that way's length that hold another component; of the
+points of one place in one component the least id looks for all. Edges are ordered by
+length (rounded to DIGITS) and both ids, so the tree is unique.
 
 The rounds run on all points in parallel and halve the components at least. Condensing
 needs the tree's edges in order of length: one task reads them, three numbers a point and
@@ -33,27 +34,30 @@ LIST = 16
 
 
 def _shortest(here, own, core, comp, ids, rows, cores, comps):
-    """(component, length, low id, high id) of the shortest way out of each query's component into these rows, one for each component."""
-    best: dict[int, tuple[float, int, int]] = {}
+    """(components, lengths, low ids, high ids) of the shortest way out of each query's component into these rows, one for each component."""
+    names, group = np.unique(comp, return_inverse=True)
+    least, out = np.full(len(names), np.inf), []
     step = max(1, pivots.HELD // max(1, len(rows)))
     for lo in range(0, len(own), step):
         at = slice(lo, lo + step)
         near, off = _far(own[at], rows)
-        near = np.maximum(near, np.maximum(core[at, None], cores[None]))
+        np.maximum(near, np.maximum(core[at, None], cores[None]), out=near)
         near[comp[at, None] == comps[None]] = np.inf
-        for c in np.unique(comp[at]).tolist():
-            mine = np.flatnonzero(comp[at] == c)
-            least = near[mine].min()
-            if not np.isfinite(least) or c in best and least > best[c][0] + 2 * off.max() + 10.0**-DIGITS:
-                continue
-            p, q = np.nonzero(near[mine] <= least + 2 * off.max() + 10.0**-DIGITS)
-            p = mine[p]
-            length = np.round(np.maximum(np.sqrt(_exact(own[at][p], rows[q])), np.maximum(core[at][p], cores[q])), DIGITS)
-            low, high = np.minimum(here[at][p], ids[q]), np.maximum(here[at][p], ids[q])
-            k = np.lexsort((high, low, length))[0]
-            way = (float(length[k]), int(low[k]), int(high[k]))
-            best[c] = min(best.get(c, way), way)
-    return [(c, *w) for c, w in best.items()]
+        np.minimum.at(least, group[at], near.min(axis=1))
+        bound = least[group[at]] + 2 * off.max() + 10.0**-DIGITS
+        p, q = np.nonzero((near <= bound[:, None]) & np.isfinite(near))
+        p += lo
+        length = np.round(np.maximum(np.sqrt(_exact(own[p], rows[q])), np.maximum(core[p], cores[q])), DIGITS)
+        out.append(_first(group[p], length, np.minimum(here[p], ids[q]), np.maximum(here[p], ids[q])))
+    found = _first(*(np.concatenate(c) for c in zip(*out))) if out else [np.zeros(0, np.int64)] * 4
+    return names[found[0]], *found[1:]
+
+
+def _first(group, length, low, high):
+    """The least (length, low, high) of each group."""
+    order = np.lexsort((high, low, length, group))
+    order = order[np.diff(group[order], prepend=-1) != 0]
+    return group[order], length[order], low[order], high[order]
 
 
 def spanning_tree(points: DataFrame, vector: str, samples: int = 5, index: pivots.Index | None = None) -> DataFrame:
@@ -75,16 +79,18 @@ def spanning_tree(points: DataFrame, vector: str, samples: int = 5, index: pivot
     listed = cut(listed.select("i", "j", F.round(F.greatest("d", "core", "other"), DIGITS).alias("length")))
     labels, tree = cut(nodes.select("i", F.col("i").alias("c"))), None
     while labels.select("c").distinct().count() > 1:
-        ends = listed.join(labels, "i").join(labels.select(F.col("i").alias("j"), F.col("c").alias("e")), "j").where("c <> e")
+        ends = cut(listed.join(labels, "i").join(labels.select(F.col("i").alias("j"), F.col("c").alias("e")), "j").where("c <> e").select("i", "j", "length", "c"))
+        listed = ends.drop("c")  # what joined once stays joined
         way = F.struct("length", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
         proposed = ends.groupBy("c").agg(F.min(way).alias("way"))
-        rows = cut(nodes.join(labels, "i").join(proposed, "c", "left").select("b", "i", "x", "core", "c", "reach", F.coalesce("way.length", F.lit(float("inf"))).alias("most")))
+        rows = nodes.join(labels, "i").join(proposed, "c", "left").select("b", "i", "x", "core", "c", "reach", F.coalesce("way.length", F.lit(float("inf"))).alias("most"))
+        # of one place's points in one component only the least id counts: it gives the first of equal ways, asking and asked
+        rows = cut(rows.groupBy("b", "x", "core", "c").agg(F.min("i").alias("i"), F.min("reach").alias("reach"), F.min("most").alias("most")).select("b", "i", "x", "core", "c", "reach", "most"))
         # a point outside the list is at least as far as its last entry
         asking = rows.where(F.greatest("reach", "core") <= F.col("most") + 10.0**-DIGITS) if k < index.sizes.sum() - 1 else rows.limit(0)
-        whole = F.min("c") == F.max("c")
-        pure = {r.b: r.c for r in rows.groupBy("b").agg(whole.alias("whole"), F.min("c").alias("c")).where("whole").collect()}  # a row for each block
-        only = np.array([pure.get(b, -(2**63)) for b in range(index.blocks)])
-        found = _asked(index, asking, rows, only)
+        held = {r.b: r for r in rows.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("core").alias("core")).collect()}  # a row for each block
+        only = np.array([held[b].low if b in held and held[b].low == held[b].high else -(2**63) for b in range(index.blocks)])
+        found = _asked(index, asking, rows, only, np.array([held[b].core if b in held else np.inf for b in range(index.blocks)]))
         best = found.select("c", F.struct("length", "a", "b").alias("way")).unionByName(proposed).groupBy("c").agg(F.min("way").alias("way"))
         best = cut(best.select("way.*").distinct())
         tree = best if tree is None else tree.unionByName(best)
@@ -94,17 +100,25 @@ def spanning_tree(points: DataFrame, vector: str, samples: int = 5, index: pivot
     return tree.select("a", "b", "length") if tree is not None else spark.createDataFrame([], "a bigint, b bigint, length double")
 
 
-def _asked(index: pivots.Index, asking: DataFrame, rows: DataFrame, only: np.ndarray) -> DataFrame:
-    """(c, length, a, b): ways that the asking points find in blocks near enough and not all of their own component."""
+def _asked(index: pivots.Index, asking: DataFrame, rows: DataFrame, only: np.ndarray, widest: np.ndarray) -> DataFrame:
+    """(c, length, a, b): ways that the asking points find in blocks near enough and not all of their own component.
+
+    only: the one component that a block holds, if so; widest: its largest core distance.
+    A block that holds another component has a point no farther than its far side, which
+    bounds the way of a component whose lists propose none.
+    """
     centres, radii = index.centres, index.radii
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, comp, most = _matrix(batch.column(1)), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            x, core, comp, most = _matrix(batch.column(1)), *(batch.column(c).to_numpy() for c in (2, 3, 4))
             for lo in range(0, len(x), pivots.BLOCK):
                 hi = lo + pivots.BLOCK
                 far, off = _far(x[lo:hi], centres)
-                meets = (far - radii - 2 * off[:, None] <= most[lo:hi, None] + 10.0**-DIGITS) & (only[None] != comp[lo:hi, None])
+                other = only[None] != comp[lo:hi, None]
+                upto = np.where(other, np.maximum(far + radii + 2 * off[:, None], widest), np.inf).min(axis=1)
+                upto = np.minimum(most[lo:hi], np.maximum(upto, core[lo:hi]))
+                meets = (far - radii - 2 * off[:, None] <= upto[:, None] + 10.0**-DIGITS) & other
                 at, to = np.nonzero(meets)
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(c).take(pa.array(at + lo)) for c in range(4))], ["b", "i", "x", "core", "c"])
 
@@ -117,8 +131,8 @@ def _asked(index: pivots.Index, asking: DataFrame, rows: DataFrame, only: np.nda
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         sides = [[t["i"].to_numpy(), _matrix(t["x"]), t["core"].to_numpy(), t["c"].to_numpy()] for t in (a, b)]
-        out = _shortest(*sides[0], *sides[1]) if a.num_rows and b.num_rows else []
-        return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate((("c", pa.int64()), ("length", pa.float64()), ("a", pa.int64()), ("b", pa.int64())))})
+        out = _shortest(*sides[0], *sides[1]) if a.num_rows and b.num_rows else [[]] * 4
+        return pa.table({n: pa.array(out[k], kind) for k, (n, kind) in enumerate((("c", pa.int64()), ("length", pa.float64()), ("a", pa.int64()), ("b", pa.int64())))})
 
     return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, "c bigint, length double, a bigint, b bigint")
 

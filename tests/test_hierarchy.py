@@ -91,3 +91,35 @@ def test_small_and_empty(spark):
     assert {q.label for q in hierarchy.hdbscan(df, "x", 5).collect()} == {-1}
     assert hierarchy.hdbscan(df.limit(0), "x", 5).count() == 0
     assert hierarchy.hdbscan(df.limit(1), "x", 5).count() == 1
+
+
+def test_copies_look_once_and_not_everywhere(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    places = np.round(r.normal(size=(60, 2)), 2)
+    x = np.repeat(places, 20, axis=0)[r.permutation(1200)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i bigint, x array<double>")
+    asked, looked = [], hierarchy._asked
+
+    def counted(index, asking, rows, *more):
+        asked.append((rows.select("c").distinct().count(), rows.count(), asking.count()))
+        return looked(index, asking, rows, *more)
+
+    monkeypatch.setattr(hierarchy, "_asked", counted)
+    got = sorted((e.length, e.a, e.b) for e in hierarchy.spanning_tree(df, "x", 8, pivots.build(df, "x", block=100)).collect())
+    # Kruskal over all pairs, in order of length and both ids
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    a, b = np.triu_indices(len(x), 1)
+    top, plain = list(range(len(x))), []
+
+    def root(v):
+        while top[v] != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    for k in np.lexsort((b, a, np.round(d[a, b], 9))).tolist():
+        p, q = root(int(a[k])), root(int(b[k]))
+        if p != q:
+            top[p] = q
+            plain.append((round(float(d[a[k], b[k]]), 9), int(a[k]), int(b[k])))
+    assert [e[1:] for e in got] == [e[1:] for e in plain] and np.allclose([e[0] for e in got], [e[0] for e in plain], atol=2e-9)
+    assert all(rows <= 60 for parts, rows, _ in asked if parts <= 60) and asked[-1][0] <= 60
