@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding with a segment tree over adjacent pair ranks.
 
 A word is a row of symbols; leaf i of the tree holds the rank of the pair (symbol
-i, next live symbol). An inner node holds the lesser rank of its halves, and the
-left one when they tie, so the root names the leftmost pair of lowest rank. A merge
+i, next live symbol) and, in its lowest bits, i. An inner node holds the lesser of its
+halves, so the root names the leftmost pair of lowest rank. A merge
 changes two or three leaves, each repaired on the way to the root: a word of n
 symbols takes O(n log n) steps however long it is.
 
@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 CACHED_PIECES = 400_000
-_NONE = 1 << 60
+#: Above all ranks; small, so that short words have keys of one machine word.
+_NONE = 1 << 24
+#: Bits of a symbol's id in the key of a pair.
+PAIR = 20
 #: str.split() also splits at these four, which are no white space here.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -65,59 +68,49 @@ def byte_symbols() -> list[str]:
 class PairTree:
     """The merges of one word, driven by a segment tree of pair ranks."""
 
-    def __init__(self, ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, ids: list[int], ranks: dict[int, int], merged: list[int]):
+        """ranks: of a pair (a, b) at a << PAIR | b; merged: the symbol that each rank makes."""
         n = len(ids)
-        size = 1
-        while size < n:
-            size *= 2
-        self.ids, self.ranks, self.size = ids, ranks, size
+        depth = (n - 1).bit_length()
+        self.ids, self.ranks, self.merged, self.depth = ids, ranks, merged, depth
         self.next, self.prev = [*range(1, n), -1], [-1, *range(n - 1)]
-        leaf = [_NONE] * size
-        for i in range(n - 1):
-            found = ranks.get((ids[i], ids[i + 1]))
-            if found is not None:
-                leaf[i] = found[0]
-        tree = [_NONE] * size + leaf
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a <= b else b
-        self.tree = tree
-
-    def _update(self, i: int) -> None:
-        ids, tree = self.ids, self.tree
-        j = self.next[i]
-        found = self.ranks.get((ids[i], ids[j])) if j >= 0 else None
-        k = i + self.size
-        tree[k] = _NONE if found is None else found[0]
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a <= b else b
-            if tree[k] == low:
-                break
-            tree[k] = low
-            k >>= 1
+        found = ranks.get
+        level = [found(a << PAIR | b, _NONE) << depth | i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+        level += [_NONE << depth] * ((1 << depth) - n + 1)
+        tree = level
+        while len(level) > 1:
+            level = [a if a < b else b for a, b in zip(level[::2], level[1::2])]
+            tree = level + tree
+        self.tree = [0, *tree]
 
     def merge_all(self) -> list[int]:
-        ids, tree, size, following, previous = self.ids, self.tree, self.size, self.next, self.prev
-        while tree[1] != _NONE:
-            low, k = tree[1], 1
-            while k < size:  # the left half first: the leftmost pair of the lowest rank
-                k *= 2
-                if tree[k] != low:
-                    k += 1
-            i = k - size
+        ids, tree, depth, following, previous = self.ids, self.tree, self.depth, self.next, self.prev
+        found, merged, size, none = self.ranks.get, self.merged, 1 << self.depth, _NONE << self.depth
+        while (low := tree[1]) < none:
+            i = low & size - 1
             j = following[i]
-            ids[i] = self.ranks[ids[i], ids[j]][1]
-            ids[j] = -1
-            following[i] = following[j]
-            if following[j] >= 0:
-                previous[following[j]] = i
+            made = ids[i] = merged[low >> depth]
+            after, before = following[j], previous[i]
+            following[i] = after
             following[j] = -1
-            self._update(j)
-            self._update(i)
-            if previous[i] >= 0:
-                self._update(previous[i])
+            rank = none
+            if after >= 0:
+                previous[after] = i
+                rank = found(made << PAIR | ids[after], _NONE) << depth | i
+            changed = ((j, none), (i, rank)) if before < 0 else ((j, none), (i, rank), (before, found(ids[before] << PAIR | made, _NONE) << depth | before))
+            for k, low in changed:
+                k += size
+                if tree[k] == low:
+                    continue
+                tree[k] = low
+                while k > 1:
+                    a = tree[k ^ 1]
+                    if a < low:
+                        low = a
+                    k >>= 1
+                    if tree[k] == low:
+                        break
+                    tree[k] = low
         out, i = [], 0
         while i >= 0:
             out.append(ids[i])
@@ -135,9 +128,12 @@ class WordBPE:
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        if max(self.tokens) >> PAIR or len(pairs) > _NONE:
+            raise ValueError("the vocabulary is too large")
+        self.ranks = {vocab[a] << PAIR | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [vocab[a + b] for a, b in pairs]
+        # what each token adds to the digested texts
+        self.decimal, self.decoded = {i: b"%d " % i for i in self.tokens}, {i: f"{t} ".encode() for i, t in self.tokens.items()}
         symbols = byte_symbols()
         self.inner, self.last = [vocab[s] for s in symbols], [vocab[s + suffix] for s in symbols]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -154,7 +150,7 @@ class WordBPE:
             raw = word.encode("utf-8")
             ids = [self.inner[b] for b in raw]
             ids[-1] = self.last[raw[-1]]
-            found = tuple(ids) if len(ids) == 1 else tuple(PairTree(ids, self.ranks).merge_all())
+            found = tuple(ids) if len(ids) == 1 else tuple(PairTree(ids, self.ranks, self.merged).merge_all())
             if len(self.words) >= CACHED_PIECES:
                 self.words.clear()
             self.words[word] = found
@@ -163,8 +159,11 @@ class WordBPE:
     def piece(self, piece: str) -> list[int]:
         """The ids of a text without the white space that splits texts."""
         out: list[int] = []
-        # only a text with the beginning of a special token is searched for one
-        some = self.cut.split(piece) if any(s in piece for s in self.beginnings) else (piece,)
+        some = (piece,)
+        for s in self.beginnings:  # only a text with the beginning of a special token is searched for one
+            if s in piece:
+                some = self.cut.split(piece)
+                break
         for k, part in enumerate(some):
             if k % 2:
                 out.append(self.special[part])
@@ -186,7 +185,10 @@ class WordBPE:
     def cached(self, piece: str) -> tuple[int, bytes, bytes]:
         """(count, decimal ids, decoded text), the latter two each followed by one space."""
         ids = self.piece(piece)
-        out = (len(ids), b"".join(b"%d " % i for i in ids), "".join(self.tokens[i] + " " for i in ids).encode("utf-8"))
+        if len(ids) == 1:
+            out = (1, self.decimal[ids[0]], self.decoded[ids[0]])
+        else:
+            out = (len(ids), b"".join([self.decimal[i] for i in ids]), b"".join([self.decoded[i] for i in ids]))
         if len(self.pieces) >= CACHED_PIECES:
             self.pieces.clear()
         self.pieces[piece] = out
