@@ -74,3 +74,18 @@ def test_principal_curvatures_of_a_torus(spark):
     line = generators.curve_points(spark, "helix", 40).select("i", F.array("x0", "x1", "x2").alias("e"), F.array("u0", "u1", "u2").alias("u"))
     with pytest.raises(Exception, match="hypersurface"):
         levels.principal_curvatures(line, levels.lift(line, 1, 5)).collect()
+
+
+def test_regress_of_many_points():
+    """Points by an axis in front come out as one by one, those whose neighbours are all copies too."""
+    rng = np.random.default_rng(4)
+    t, c, w = rng.normal(size=(6, 9, 2)), rng.normal(size=(6, 9, 3, 2)), rng.uniform(size=(6, 9))
+    t[2] = 0
+    many = levels.regress(t, c, w, 0.1)
+    assert many.shape == (6, 3, 2, 2) and not many[2].any()
+    for k in range(6):
+        assert np.allclose(many[k], levels.regress(t[k], c[k], w[k], 0.1), atol=1e-12)
+        s = np.einsum("n,na,nb->ab", w[k], t[k], t[k])
+        s = s + (0.1 * np.trace(s) / 2 or 1e-12) * np.eye(2)
+        r = np.einsum("n,na,npb->pab", w[k], t[k], c[k])
+        assert all(np.allclose(s @ b + b @ s, m + m.T, atol=1e-9) for b, m in zip(many[k], r))
