@@ -105,11 +105,12 @@ def _asked(index: pivots.Index, asking: DataFrame, rows: DataFrame, only: np.nda
 
     only: the one component that a block holds, if so; widest: its largest core distance.
     A block that holds another component has a point no farther than its far side, which
-    bounds the way of a component whose lists propose none.
+    bounds the way of a component whose lists propose none. Where points ask many blocks,
+    some stand together and take a point once, as in the neighbour joins.
     """
     centres, radii = index.centres, index.radii
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], wide: int = 0) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, core, comp, most = _matrix(batch.column(1)), *(batch.column(c).to_numpy() for c in (2, 3, 4))
             for lo in range(0, len(x), pivots.BLOCK):
@@ -119,15 +120,21 @@ def _asked(index: pivots.Index, asking: DataFrame, rows: DataFrame, only: np.nda
                 upto = np.where(other, np.maximum(far + radii + 2 * off[:, None], widest), np.inf).min(axis=1)
                 upto = np.minimum(most[lo:hi], np.maximum(upto, core[lo:hi]))
                 meets = (far - radii - 2 * off[:, None] <= upto[:, None] + 10.0**-DIGITS) & other
-                at, to = np.nonzero(meets)
+                if not wide:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(hi, len(x)) - lo]), pa.array([int(meets.sum())])], ["asking", "n"])
+                    continue
+                at, to = np.nonzero(pivots.joint(meets, wide))
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(c).take(pa.array(at + lo)) for c in range(4))], ["b", "i", "x", "core", "c"])
 
-    sent = cut(asking.select("i", "x", "core", "c", "most").mapInArrow(send, "b int, i bigint, x array<double>, core double, c bigint"))
+    asking = cut(asking.select("i", "x", "core", "c", "most"))
+    total = asking.mapInArrow(send, "asking bigint, n bigint").agg(F.sum("asking").alias("asking"), F.sum("n").alias("n")).first()
+    wide = pivots.together(index.blocks, total.asking or 0, total.n or 0)
+    sent = cut(asking.mapInArrow(lambda batches: send(batches, wide), "b int, i bigint, x array<double>, core double, c bigint"))
     parts = {r.b: -(-r.n // pivots.QUERIES) for r in sent.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each block
     spark = rows.sparkSession
     copies = F.broadcast(spark.createDataFrame(list(parts.items()) or [(-1, 1)], "b int, copies int"))
     left = sent.join(copies, "b").select("b", F.pmod(F.xxhash64("i"), F.col("copies")).cast("int").alias("s"), "i", "x", "core", "c")
-    right = rows.join(copies, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("s"), "i", "x", "core", "c")
+    right = rows.withColumn("b", (F.col("b") / wide).cast("int")).join(copies, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("s"), "i", "x", "core", "c")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         sides = [[t["i"].to_numpy(), _matrix(t["x"]), t["core"].to_numpy(), t["c"].to_numpy()] for t in (a, b)]
