@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from sheetwise.operators import direct, kernels
 from sheetwise.operators.neighbors import knn_edges
-from sheetwise.operators.solvers import spectrum
+from sheetwise.operators.solvers import held_spectrum, spectrum
 from sheetwise.plans.lineage import cut
 
+#: Points up to which a segment is solved as a dense matrix, and up to which it is solved in one task at all.
+DENSE, WHOLE = 1500, 1 << 16
+
 
 def mean_subspaces(rows: DataFrame, group: str, frame: str, d: int = 1) -> DataFrame:
     """(group, rank, values, basis, n): the mean of each group's projectors onto frames, taken apart.
@@ -89,12 +92,13 @@ def split_branches(points: DataFrame, x: Sequence[str], frame: str, d: int = 1,
     return rows.select((F.col("i") * 2 + F.col("r.branch")).alias("i"), F.col("i").alias("origin"), *x, F.col("r.u").alias(frame), F.col("r.branch").alias("branch"))
 
 
-def segment_parameters(points: DataFrame, x: Sequence[str], normals: Sequence[str], label: str, k: int = 10, most: int = 1500) -> DataFrame:
+def segment_parameters(points: DataFrame, x: Sequence[str], normals: Sequence[str], label: str, k: int = 10, most: int = WHOLE) -> DataFrame:
     """(i, u, v): two spectral parameters of each segment, from -0.5 to 0.5; segments below max(8, k + 1) points and noise (negative labels) are left out.
 
     Neighbours are taken within segments: the graph is built once over positions in which
-    segments lie apart. Segments of up to `most` points are solved together in one grouped
-    pass, one small matrix at a time; larger ones go to `solvers.spectrum` one by one.
+    segments lie apart. Segments of up to `most` points are solved in one grouped pass, one
+    at a time in a task: small ones densely, others with a sparse factor. Larger ones go to
+    `solvers.spectrum` one by one.
     The parameters are the second and third eigenvectors of the normalised bilateral
     Laplacian, so their signs, and for symmetric segments a rotation, are open; the entry
     of largest size is positive. A constant parameter becomes 0.
@@ -108,20 +112,24 @@ def segment_parameters(points: DataFrame, x: Sequence[str], normals: Sequence[st
     apart = points.sparkSession.createDataFrame([(int(v), float(n) * far) for v, n in rank.items()] or [(-1, 0.0)], f"{label} bigint, _apart double")
     placed = cut(rows.join(F.broadcast(apart), label))
     edges = cut(knn_edges(placed, [*x, "_apart"], k))
-    weights = kernels.bilateral(edges, placed, list(x), list(normals))
-    lap = cut(kernels.laplacian(weights, True).join(placed.select("i", label, "_size"), "i"))
+    weights = cut(kernels.bilateral(edges, placed, list(x), list(normals)))
+    # ids say nothing about places: without an order a factor's uppermost node would hold most of a segment
+    order = cut(direct.curve_order(placed, x))
+    lap = cut(kernels.laplacian(weights, True).join(placed.select("i", label, "_size").join(order, "i"), "i"))
 
     def solve(t: pa.Table) -> pa.Table:
-        i, j, v = (t[c].to_numpy() for c in "ijv")
-        ids = np.unique(i)
-        a = np.zeros((len(ids), len(ids)))
-        np.add.at(a, (np.searchsorted(ids, i), np.searchsorted(ids, j)), v)
-        _, y = np.linalg.eigh(a)
+        i, j, v, key = (t[c].to_numpy() for c in ("i", "j", "v", "key"))
+        ids, first, i = np.unique(i, return_index=True, return_inverse=True)
+        j = np.searchsorted(ids, j)
+        if len(ids) > DENSE:
+            y = held_spectrum(i, j, v, key[first], 3)[1]
+        else:
+            a = np.zeros((len(ids), len(ids)))
+            np.add.at(a, (i, j), v)
+            y = np.linalg.eigh(a)[1]
         return pa.table({"i": ids, "y": pa.array(y[:, 1:3].tolist(), pa.list_(pa.float64()))})
 
-    made = lap.where(F.col("_size") <= most).select(label, "i", "j", "v").groupBy(label).applyInArrow(solve, "i bigint, y array<double>")
-    # ids say nothing about places: without an order the solver's uppermost node would hold most of a segment
-    order = cut(direct.curve_order(placed, x))
+    made = lap.where(F.col("_size") <= most).select(label, "i", "j", "v", "key").groupBy(label).applyInArrow(solve, "i bigint, y array<double>")
     for r in sizes.where(F.col("_size") > most).collect():  # each with its own solution
         y, _ = spectrum(lap.where(F.col(label) == r[label]).select("i", "j", "v"), 2, drop_first=True, order=order)
         made = made.unionByName(y)

@@ -66,3 +66,23 @@ def test_large_segments_are_solved_in_the_order_of_places(spark, monkeypatch):
     assert len(orders) == 1 and {q.i for q in orders[0].collect()} == set(range(240))
     along = np.corrcoef([x[1] for x in rows], [got[x[0]] for x in rows])[0, 1]
     assert abs(along) > 0.9
+
+
+def test_segments_of_some_thousand_points_stay_in_one_task(spark, monkeypatch):
+    """Against dense numpy, and without a distributed spectrum for each segment."""
+    r = np.random.default_rng(9)
+    t = np.sort(r.uniform(size=1700))
+    rows = [(int(i), float(a), float(b), 0.0, 0.0, 0.0, 1.0, 1) for i, a, b in zip(r.permutation(1700), t, r.uniform(size=1700) * 0.1)]
+    points = spark.createDataFrame(rows, "i bigint, x0 double, x1 double, x2 double, n0 double, n1 double, n2 double, s bigint")
+    monkeypatch.setattr(subspaces, "spectrum", None)
+    laps, real = [], subspaces.kernels.laplacian
+    monkeypatch.setattr(subspaces.kernels, "laplacian", lambda *a: laps.append(real(*a)) or laps[-1])
+    got = {q.i: (q.u, q.v) for q in subspaces.segment_parameters(points, ["x0", "x1", "x2"], ["n0", "n1", "n2"], "s", k=8).collect()}
+    a = np.zeros((1700, 1700))
+    for q in laps[0].collect():
+        a[q.i, q.j] = q.v
+    y = np.linalg.eigh(a)[1][:, 1:3]
+    y = (y - y.min(axis=0)) / (y.max(axis=0) - y.min(axis=0)) - 0.5
+    mine = np.array([got[i] for i in range(1700)])
+    for c in range(2):
+        assert min(abs(mine[:, c] - y[:, c]).max(), abs(mine[:, c] + y[:, c]).max()) < 1e-6
