@@ -134,7 +134,7 @@ def _relational() -> dict[str, tuple[Query, str | None]]:
     add("knn_embeddings", lambda s, d: _rounded(_emb_edges(s, d), ["i", "j", "rank"], ["d2"]), f"WITH e AS ({EMB_SQL}) SELECT i, j, rank, {_shown(['d2'])} FROM ({knn_sql('e', EMB, 10)})")
     add("knn_grid_part", lambda s, d: _rounded(neighbors.knn_edges(_parts(s, d), X2, 5), ["i", "j", "rank"], ["d2"]), f"WITH e AS ({PART_SQL}) SELECT i, j, rank, {_shown(['d2'])} FROM ({knn_sql('e', X2, 5)})")
     d2 = V.dist2(["a.x0", "a.x1"], ["b.x0", "b.x1"])
-    add("radius_grid_part", lambda s, d: _rounded(neighbors.radius_edges(_parts(s, d), X2, 0.0151), ["i", "j"], ["d2"]), f"WITH e AS ({PART_SQL}) SELECT a.i, b.i AS j, {V.shown(d2, 'd2')} FROM e a JOIN e b ON a.i <> b.i AND {d2} <= {num(0.0151**2)}")
+    add("radius_grid_part", lambda s, d: neighbors.radius_edges(_parts(s, d), X2, 0.0151, digits=6), f"WITH e AS ({PART_SQL}) SELECT a.i, b.i AS j, {V.shown(d2, 'd2')} FROM e a JOIN e b ON a.i <> b.i AND {d2} <= {num(0.0151**2)}")
     add("nearest_to_centroid", lambda s, d: _parts(s, d).crossJoin(F.broadcast(_parts(s, d).agg(F.avg("x0").alias("c0"), F.avg("x1").alias("c1")))).agg(F.min(F.struct(F.round(F.expr("(x0-c0)*(x0-c0)+(x1-c1)*(x1-c1)"), 9).alias("d2"), "i")).alias("m")).select(F.col("m.i").alias("i")),
         f"WITH e AS ({PART_SQL}), c AS (SELECT avg(x0) AS c0, avg(x1) AS c1 FROM e) SELECT i FROM e, c ORDER BY round((x0-c0)*(x0-c0)+(x1-c1)*(x1-c1), 9), i LIMIT 1")
     add("chamfer_curves", lambda s, d: _rounded(neighbors.chamfer(G.curve_points(s, "circle", 100), _fig8(s), X2), [], ["chamfer"]),

@@ -82,3 +82,21 @@ def test_many_blocks_with_many_queries(spark, monkeypatch):
     assert {(r.i, r.j, r.rank) for r in pivots.knn(df, "x", 4, index=index).collect()} == plain(x, x, 4, False)
     got = {(r.i, r.j) for r in pivots.radius(df, "x", 4.5, index=index).collect()}
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(squares(x, x) <= 4.5**2)) if i != j}
+
+
+@pytest.mark.parametrize("itself", [False, True])
+def test_radius_where_points_share_places(spark, monkeypatch, itself):
+    """Pairs of places leave the tasks, not pairs of points; one place is several rows, one has a single point."""
+    r = np.random.default_rng(3)
+    x = np.repeat(r.uniform(size=(60, 2)), r.integers(1, 12, size=60), axis=0)
+    x = np.concatenate([x, np.full((50, 2), 0.5), [[0.5, 0.55]]])[r.permutation(len(x) + 51)]
+    monkeypatch.setattr(pivots, "COPIES", 16)
+    monkeypatch.setattr(pivots, "LEAST", 10)
+    schemas, real = [], pivots._tasks
+    monkeypatch.setattr(pivots, "_tasks", lambda q, p, run, schema, *a: schemas.append(schema) or real(q, p, run, schema, *a))
+    got = [(q.i, q.j, q.d2) for q in pivots.radius(cloud(spark, x), "x", 0.1, itself=itself, digits=6).collect()]
+    assert len(schemas) == 1 and "ids array<bigint>" in schemas[0]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    near = {(int(i), int(j)): d[i, j] for i, j in zip(*np.nonzero(d <= 0.1**2)) if itself or i != j}
+    assert len(got) == len(near) and {g[:2] for g in got} == set(near)
+    assert all(abs(v - near[i, j]) < 5.1e-7 and round(v, 6) == v for i, j, v in got)
